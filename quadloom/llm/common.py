@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 BLOCK_BYTES = 2 << 20
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python 8 MB of rows at a time, where it names no other limit."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
+    return df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
@@ -97,7 +106,7 @@ def append_columns(
                 arrays = step(part.column(at), part)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in columns] + arrays, names)
 
-    return df.mapInArrow(run, schema)
+    return lean(df).mapInArrow(run, schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes
+from .common import lean, settle, text_bytes
 
 SIZE = 1024
 SALTS = 256
@@ -114,7 +114,7 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                 yield flush()
 
     made = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return source.mapInArrow(run, made)
+    return lean(source).mapInArrow(run, made)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:

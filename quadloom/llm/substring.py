@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, append_columns, apply_groups, blocks, mix, settle, text_bytes, word_codes, words
+from .common import LOWER, SPACED, append_columns, apply_groups, blocks, lean, mix, settle, text_bytes, word_codes, words
 from .components import components
 
 SHINGLE = 5
@@ -316,7 +316,7 @@ def link_passages(texts: DataFrame, passage: int = PASSAGE, similar: float = SIM
     """
     spark, least = texts.sparkSession, passage - SHINGLE + 1
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    sent = texts.select("tag", "text").mapInArrow(lambda it: _sketch(it, least, buckets), "bucket long, kind int, rows binary")
+    sent = lean(texts).select("tag", "text").mapInArrow(lambda it: _sketch(it, least, buckets), "bucket long, kind int, rows binary")
     met = apply_groups(sent, ["bucket"], lambda it: _meet(it, buckets), "bucket long, kind int, rows binary")
     found = settle(apply_groups(met, ["bucket"], lambda it: _candidates(it, least), "a long, b long, a_from long, a_to long, b_from long, b_to long"))
     asked = found.select(F.col("a").alias("tag"), "a", "b", "a_from", F.lit(0).alias("side"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi"))

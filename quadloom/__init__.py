@@ -1,0 +1 @@
+"""Tiled imagery and multimodal alignment as Spark DataFrame operations."""

@@ -24,12 +24,17 @@ BITS = 18
 
 @dataclass(frozen=True)
 class Features:
-    """Byte lengths of the n-grams, prefixes and suffixes of ``^word$``."""
+    """Byte lengths of the n-grams, prefixes and suffixes of ``^word$``.
+
+    ``lexicon`` says of each index whether it is an entry; a word with an entry
+    has one more feature, the last index.
+    """
 
     grams: tuple[int, ...] = ()
     prefixes: tuple[int, ...] = ()
     suffixes: tuple[int, ...] = ()
     bits: int = BITS
+    lexicon: np.ndarray | None = None
 
     def of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(indices, word): the feature indices of each distinct word, with the word's number."""
@@ -77,7 +82,11 @@ class Features:
             k = np.flatnonzero(lens + 2 > s)
             out.append(index(end[k] - s, end[k], 70 + s))
             who.append(k)
-        return np.concatenate(out), np.concatenate(who)
+        index_, who_ = np.concatenate(out), np.concatenate(who)
+        if self.lexicon is not None:
+            listed = np.flatnonzero(np.bincount(who_, self.lexicon[index_], n) > 0)
+            index_, who_ = np.append(index_, np.full(len(listed), (1 << self.bits) - 1)), np.append(who_, listed)
+        return index_, who_
 
 
 def line_words(data: np.ndarray, off: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, ...]:

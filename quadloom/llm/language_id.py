@@ -23,7 +23,7 @@ FIT_CHARS = 2000
 LABELS = 64
 UNKNOWN = "und"
 #: A text whose best label has a lower score is rejected by the filter.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 FEATURES = Features(grams=(2, 3, 4), prefixes=(4, 5, 6), suffixes=(4, 5, 6))
 
 

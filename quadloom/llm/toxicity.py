@@ -2,8 +2,8 @@
 
 Labels say only which documents are toxic.  Words become labelled tokens by a
 lexicon of words and affixes that occur in many toxic and hardly any other
-sampled documents; the field learns to tag them from those tokens and their
-neighbours.  Forward-backward marginals give the offending offsets, and a
+sampled documents; the field learns to tag them from their words, affixes and
+place in the lexicon, and from their neighbours.  Forward-backward marginals give the offending offsets, and a
 calibrated function of them is the document's score.
 
 Everything is fitted on the driver from a bounded sample: at most ``TOXIC`` rows
@@ -12,7 +12,8 @@ labelled 1 and ``CLEAN`` rows labelled 0, of at most ``FIT_CHARS`` characters.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,15 @@ from pyspark.sql import functions as F
 from .common import append_columns, settle, text_bytes
 from .crf import Crf, Features, fit, line_words
 
-TOXIC = 1500
-CLEAN = 3000
+TOXIC = 1200
+CLEAN = 3600
 #: Longer texts aren't drawn for the fit; every text is scored whole.
 FIT_CHARS = 6000
 FEATURES = Features(prefixes=(4, 5, 6, 7, 8), suffixes=(5, 6, 7))
 #: A word with a marginal of at least this is part of an offending span.
 SPAN = 0.5
 #: How unlikely by chance a lexicon entry must be, in nats, and how much likelier in toxic documents.
-CHANCE = 11.5
+CHANCE = 15.0
 LIFT = 15
 
 
@@ -41,10 +42,11 @@ class Tagger:
     calibration: np.ndarray
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", yes: int = TOXIC, no: int = CLEAN, chars: int = FIT_CHARS) -> list:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", yes: int = TOXIC, no: int = CLEAN, chars: int = FIT_CHARS) -> tuple[list, float]:
     """At most ``yes`` rows with label 1 and ``no`` with 0, by a hash of the id: (id hash, label, text).
 
-    An id with both labels, or none, isn't drawn.
+    Also the logarithm of how many times likelier label 1 is among all labelled
+    rows than among those drawn.  An id with both labels, or none, isn't drawn.
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IN (0, 1)")
     known = settle(known.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).where("_label = _most").select("_id", "_label"))
@@ -58,11 +60,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_
     chosen = F.broadcast(known.where(pick).limit(2 * (yes + no)))
     body = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).where(F.length("_text") <= chars)
     rows = body.join(chosen, "_id").select(F.xxhash64("_id").alias("h"), F.col("_label").alias("label"), F.col("_text").alias("text")).limit(2 * (yes + no)).collect()
-    return sorted(((r["h"], r["label"], r["text"]) for r in rows), key=lambda r: (r[0], r[2]))
+    drawn = sorted(((r["h"], r["label"], r["text"]) for r in rows), key=lambda r: (r[0], r[2]))
+    got = Counter(r[1] for r in drawn)
+    shift = float(np.log(n[1] / n[0]) - np.log(got[1] / got[0])) if got[1] and got[0] else 0.0
+    return drawn, shift
 
 
 def lexicon(distinct: pa.Array, codes: np.ndarray, first: np.ndarray, toxic: np.ndarray, features: Features) -> np.ndarray:
-    """Which distinct words have a feature that marks toxic documents.
+    """Which feature indices mark toxic documents.
 
     A feature marks them if the share of toxic documents with it is LIFT times
     that of others, and so many would hardly have met by chance.
@@ -82,21 +87,22 @@ def lexicon(distinct: pa.Array, codes: np.ndarray, first: np.ndarray, toxic: np.
     q = np.clip(bad / total, 1e-9, 1 - 1e-9)
     surprise = total * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base)))
     lift = (bad / max(toxic.sum(), 1)) / ((good + 0.5) / max((~toxic).sum(), 1))
-    marked = (q > base) & (surprise >= CHANCE) & (lift >= LIFT)
-    return np.bincount(who[order], marked[index], len(distinct)) > 0
+    return (q > base) & (surprise >= CHANCE) & (lift >= LIFT)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Tagger | None:
     """Fits on all given rows of ``labels``; None if one class is missing or no word marks it."""
-    rows = labelled(docs, labels, label, doc_id, text)
+    rows, shift = labelled(docs, labels, label, doc_id, text)
+    rows = list({r[2]: r for r in reversed(rows)}.values())[::-1]  # copies count once
     toxic = np.array([r[1] == 1 for r in rows], bool)
     if not toxic.any() or toxic.all():
         return None
-    column = pa.array([r[2] for r in rows], pa.string())
-    data, off = text_bytes(column)
+    data, off = text_bytes(pa.array(first_lines([r[2] for r in rows]), pa.string()))
     codes, distinct, _, _, first, begin = line_words(data, off)
     row = np.repeat(np.arange(len(rows)), np.diff(first))
-    marks = lexicon(distinct, codes, first, toxic, FEATURES)
+    features = replace(FEATURES, lexicon=lexicon(distinct, codes, first, toxic, FEATURES))
+    index, who = FEATURES.of(distinct)
+    marks = np.bincount(who, features.lexicon[index], len(distinct)) > 0
     gold = (marks[codes] & toxic[row]).astype(np.int64)
     if not gold.any():
         return None
@@ -109,9 +115,24 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     lens = np.diff(begin)[chosen]
     own = np.append(0, np.cumsum(lens))
     place = np.repeat(begin[chosen] - own[:-1], lens) + np.arange(own[-1])
-    field = fit(["clean", "toxic"], FEATURES, distinct, codes[place], own, gold[place])
+    field = fit(["clean", "toxic"], features, distinct, codes[place], own, gold[place])
+    data, off = text_bytes(pa.array([r[2] for r in rows], pa.string()))
+    codes, distinct, _, _, first, begin = line_words(data, off)
     m = field.marginals(field.emissions(distinct)[codes], begin)[:, 1]
-    return Tagger(field, calibrate(evidence(m, first), toxic))
+    weights = calibrate(evidence(m, first), toxic)
+    weights[0] += shift
+    return Tagger(field, weights)
+
+
+def first_lines(texts: list[str]) -> list[str]:
+    """The texts without lines that an earlier one has, so that near copies don't count as many documents."""
+    seen: set[str] = set()
+    out = []
+    for t in texts:
+        lines = t.split("\n")
+        out.append("\n".join(x for x in lines if x not in seen))
+        seen.update(lines)
+    return out
 
 
 def evidence(marginal: np.ndarray, first: np.ndarray) -> np.ndarray:

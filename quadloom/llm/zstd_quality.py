@@ -85,7 +85,7 @@ def dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Judge | None:
     """Fits on all given rows of ``labels``; None if one class is missing."""
-    rows = labelled(docs, labels, label, doc_id, text, PER_CLASS, PER_CLASS, FIT_CHARS)
+    rows, shift = labelled(docs, labels, label, doc_id, text, PER_CLASS, PER_CLASS, FIT_CHARS)
     body = [r[2].encode() for r in rows]
     y = np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
@@ -106,7 +106,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     x = measures(np.array([sizer(body[i]) for i in held]), np.array([len(body[i]) for i in held]))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     mean[0], scale[0] = 0, 1
-    return Judge(good, bad, mean, scale, calibrate((x - mean) / scale, y[held], ridge=0.3))
+    weights = calibrate((x - mean) / scale, y[held], ridge=0.3)
+    weights[0] += shift
+    return Judge(good, bad, mean, scale, weights)
 
 
 def score(docs: DataFrame, judge: Judge | None, text: str = "text", least: float = 0.7) -> DataFrame:

@@ -105,6 +105,8 @@ def append_columns(
             for part in blocks(batch, at, limit):
                 arrays = step(part.column(at), part)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in columns] + arrays, names)
+                del arrays, part
+            pa.default_memory_pool().release_unused()
 
     return lean(df).mapInArrow(run, schema)
 

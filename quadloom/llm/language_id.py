@@ -24,6 +24,8 @@ LABELS = 64
 UNKNOWN = "und"
 #: A text whose best label has a lower score is rejected by the filter.
 LEAST_SCORE = 0.4
+#: Bytes of text in a block: a word holds about twenty features of eight bytes, for each label.
+BLOCK = 1 << 19
 FEATURES = Features(grams=(2, 3, 4), prefixes=(4, 5, 6), suffixes=(4, 5, 6))
 
 
@@ -132,4 +134,4 @@ def identify(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFram
 
         return step
 
-    return append_columns(docs, text, "lang_pred string, score double, word_langs array<struct<lang:string,n_words:long>>", work)
+    return append_columns(docs, text, "lang_pred string, score double, word_langs array<struct<lang:string,n_words:long>>", work, limit=BLOCK)

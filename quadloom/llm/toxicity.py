@@ -191,4 +191,4 @@ def score(docs: DataFrame, tagger: Tagger | None, text: str = "text", least: flo
 
         return step
 
-    return append_columns(docs, text, "score double, predicted int, toxic_spans array<struct<start:long,end:long,score:double>>", work)
+    return append_columns(docs, text, "score double, predicted int, toxic_spans array<struct<start:long,end:long,score:double>>", work, limit=1 << 20)

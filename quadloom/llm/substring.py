@@ -243,6 +243,19 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["a", "b", "a_from", "a_to", "b_from", "b_to"])
 
 
+def _follow(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
+    """Places in ``b`` of the shingles ``i`` of ``a``, followed up (step 1) or down (-1): next to the
+    place of the one before where that is this shingle, else as in ``j``."""
+    out, own, other = j.tolist(), a.tolist(), b.tolist()
+    order = range(len(out)) if step > 0 else range(len(out) - 1, -1, -1)
+    at, last, place = i.tolist(), -9, -9
+    for k in order:
+        if at[k] == last + step and 0 <= place + step < len(other) and other[place + step] == own[at[k]]:
+            out[k] = place + step
+        last, place = at[k], out[k]
+    return np.array(out)
+
+
 def passages(a: np.ndarray, b: np.ndarray, least: int, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """(a_from, a_to, b_from, b_to, similarity) of similar passages; ends are the last shingles."""
     values, place = np.unique(b, return_index=True)
@@ -250,6 +263,9 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, similar: float = SIMILAR)
     i = np.flatnonzero(values[at] == a)
     j = place[at[i]]
     out, todo = [], [(i, j)]
+    if len(values) < len(b) and len(i):  # shingles that repeat have no one place
+        up = _follow(a, b, i, j, 1)
+        todo = [(i, up), (i, _follow(a, b, i, up, -1)), (i, _follow(a, b, i, _follow(a, b, i, j, -1), 1))]
     while todo:
         i, j = todo.pop()
         if len(i) < similar * least / 2:
@@ -270,7 +286,7 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, similar: float = SIMILAR)
         elif len(i) > 2 and step.max() > 1:
             cut = int(step.argmax()) + 1
             todo += [(i[:cut], j[:cut]), (i[cut:], j[cut:])]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

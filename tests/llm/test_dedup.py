@@ -200,3 +200,15 @@ def test_crowded_groups():
     assert len(rows) == n
     links = substring._pairs(rows, start, size)
     assert len(set(groups(range(100, 100 + n), links[:, :2].tolist()).values())) == 1 and len(links) <= 3 * n
+
+
+def test_repeated_words():
+    """Runs of one word are passages too, wherever they change to the next word."""
+    a = np.array([1] * 90 + [2, 3, 4, 5] + [6] * 70, np.uint32)
+    b = np.array([9] * 20 + [1] * 30 + [2, 3, 4, 5] + [6] * 30, np.uint32)
+    found = substring.passages(a, b, 46)
+    assert any(x <= 80 and y >= 100 and p <= 40 and q >= 60 for x, y, p, q, _ in found)
+    c = np.array([1] * 60 + [2, 3, 4, 5] + [6] * 25, np.uint32)
+    assert any(y - x >= 49 for x, y, *_ in substring.passages(c, b, 46))
+    same = np.zeros(60, np.uint32)
+    assert substring.passages(same, same[:50], 46) and not substring.passages(same, same[:40], 46)

@@ -11,6 +11,11 @@ Texts that share a least hash meet in its group.  A pair of texts is a candidate
 where windows of at least two hash functions overlap by a passage in both texts
 (an interval join); its passages are then compared shingle by shingle.
 
+Words that very many texts share can be the least ones of several functions, and
+hide what a few texts share around them.  So one more function, whose tokens are
+runs of ``RUN`` shingles, has windows of its own: texts that agree on such a
+token are a candidate by it alone, and equal passages always have one in common.
+
 Equal texts are one text throughout.  Groups are cut down before the shuffle: a
 task sends at most ``FORWARD`` windows of one hash and links the rest to its
 least texts itself.  Small groups give all pairs, larger ones link each text to
@@ -33,6 +38,8 @@ SHINGLE = 5
 PASSAGE = 50
 SIMILAR = 0.8
 HASHES = 5
+#: Shingles in a token of the function of long tokens (a power of two), whose number is HASHES.
+RUN = 32
 #: Shingles that a window is followed to each side; wider ones are cut there.
 REACH_BITS = 8
 ALL_PAIRS = 5
@@ -64,6 +71,23 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np
     return total, first, np.diff(first)
 
 
+def run_hashes(hashes: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Hashes of the runs of ``run`` shingles, by doubling."""
+    step = 1
+    while step < run and len(hashes) > step:
+        hashes = mix(hashes[:-step] * np.uint64(3) + hashes[step:])
+        step *= 2
+    return hashes if step == run else hashes[:0]
+
+
+def all_windows(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, least: int) -> list[tuple[np.ndarray, ...]]:
+    """The compact windows of each function; the last one's tokens are runs, where a passage holds more than one."""
+    out = compact_windows(hashes, first, count, least)
+    if out and least > RUN:
+        out += compact_windows(run_hashes(hashes), first, count, least - RUN + 1, SHINGLE + RUN - 1, 1)
+    return out
+
+
 def _seed(f: int) -> np.uint64:
     return mix(np.array([f + 1], np.uint64))[0]
 
@@ -117,7 +141,8 @@ def _pack(c: np.ndarray, left: np.ndarray, right: np.ndarray, f: int) -> np.ndar
 def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first shingle, last shingle, function)."""
     c, left, right = ((p >> np.uint64(s)).astype(np.int64) & m for s, m in ((24, (1 << 40) - 1), (16, 255), (8, 255)))
-    return c - left, c + right, (p & np.uint64(255)).astype(np.int64)
+    f = (p & np.uint64(255)).astype(np.int64)
+    return c - left, c + right + (RUN - 1) * (f == HASHES), f
 
 
 def _sorted_runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +207,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iter
             tag = tag[new].view(np.uint64)
             data, off = text_bytes(part.column(1))
             hashes, first, count = shingles(data, off)
-            for f, (value, row, c, left, right) in enumerate(compact_windows(hashes, first, count, least)):
+            for f, (value, row, c, left, right) in enumerate(all_windows(hashes, first, count, least)):
                 held.append(np.stack([value, tag[row], _pack(c, left, right, f)], axis=1))
                 n += len(value)
             if n >= GATHER:
@@ -209,7 +234,8 @@ def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, a_from, a_to, b_from, b_to): shingle ranges in which two functions' windows overlap by a passage."""
+    """(a, b, a_from, a_to, b_from, b_to): shingle ranges in which two functions' windows, or one
+    of long tokens, overlap by a passage."""
     rows = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 4) for b in batches for x in b.column("rows").to_pylist()])
     if not len(rows):
         return
@@ -220,8 +246,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
     n = len(rows)
     same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
     pair = np.concatenate([[0], np.cumsum(~same)])
-    met = np.zeros(n, bool)
-    for d in range(1, 2 * HASHES):
+    met = f == HASHES
+    for d in range(1, 3 * HASHES):
         if n <= d:
             break
         i, j = np.arange(n - d), np.arange(d, n)

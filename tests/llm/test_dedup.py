@@ -173,6 +173,35 @@ def test_substrings(spark):
     assert got[200].class_id == 0 and got[200].n_dup_words == got[200].n_words
 
 
+def test_passages_around_common_words(spark):
+    """Two texts that share a passage are linked, though every text has most of its words."""
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    for common in (say(20), say(30), say(35)):
+        docs = []
+        for k in range(100):
+            passage = say((55 - len(common)) // 2) + common + say((56 - len(common)) // 2)
+            docs += [(2 * k + i, " ".join(say(60) + passage + say(60))) for i in range(2)]
+        got = {r.doc_id: r.class_id for r in substring.dedup_substrings(frame(spark, docs).repartition(4)).collect()}
+        assert got == {i: i - i % 2 for i in range(200)}
+
+
+def test_equal_passages_share_a_run():
+    """Whatever is around them, equal passages have a token of the last function in common."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for _ in range(50):
+        passage, seen = draw(46), []
+        for _ in range(2):
+            hashes = np.concatenate([draw(int(rng.integers(0, 90))), passage, draw(int(rng.integers(0, 90)))])
+            found = substring.all_windows(hashes, np.array([0, len(hashes) + 4]), np.array([len(hashes) + 4]), 46)
+            assert len(found) == substring.HASHES + 1
+            seen.append(set(found[-1][0].tolist()))
+        assert seen[0] & seen[1]
+    short = draw(45)
+    assert substring.all_windows(short, np.array([0, 49]), np.array([49]), 46) == []
+
+
 def test_compact_windows():
     """Each window's shingle is the least of all of it, and of nothing wider; all long passages are in one."""
     rng = np.random.default_rng(8)

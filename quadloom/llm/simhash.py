@@ -11,7 +11,8 @@ distance.
 
 Only distinct fingerprints are joined.  A cell emits a spanning forest of its
 links, not its pairs; a cell with more than ``CELL`` fingerprints is dealt in
-pairs of blocks over many tasks.
+pairs of blocks over many tasks.  Cells that would burden the task that gathers
+them are counted first and go to the block pairs without being gathered.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ SEED = 42
 DISTANCE = 4
 GROUPS = 7
 CELL = 2048
+#: Cells with so many fingerprints, and with at least so large a share of all, are never gathered.
+HOT = 1 << 16
+HOT_SHARE = 1 / 4096
+#: Fingerprints that are counted at once, and how many of them a cell needs to be counted.
+COUNTED, COUNT_FROM = 100_000, 16
 #: Cells of up to this many fingerprints are compared by shifts of the sorted cells.
 SMALL = 12
 PAIRS = np.uint64(0x5555555555555555)
@@ -119,13 +125,71 @@ def forest(a: np.ndarray, b: np.ndarray | None = None, distance: int = DISTANCE)
     return out
 
 
-def _deal(batches: Iterator[pa.RecordBatch], buckets: int, masks: list[int]) -> Iterator[pa.RecordBatch]:
-    """Distinct fingerprints to one binary row for each bucket of cells."""
+def _cells_of(prints: np.ndarray, masks: list[int]) -> np.ndarray:
+    """The cells of all fingerprints by the first choice, then by the second, and so on."""
+    vectors = embed(prints)
+    return np.concatenate([mix((vectors & np.uint64(m)) + mix(np.array([i], np.uint64))) for i, m in enumerate(masks)])
+
+
+def _count(batches: Iterator[pa.RecordBatch], masks: list[int], counted_at_once: int) -> Iterator[pa.RecordBatch]:
+    """(cell, n) of cells with at least COUNT_FROM of ``counted_at_once`` fingerprints."""
+    held, n = [], 0
+
+    def counted():
+        cells, size = np.unique(_cells_of(np.concatenate(held), masks), return_counts=True)
+        some = size >= COUNT_FROM
+        return pa.RecordBatch.from_arrays([pa.array(cells[some].view(np.int64)), pa.array(size[some].astype(np.int64))], ["cell", "n"])
+
+    for batch in batches:
+        held.append(batch.column(0).to_numpy().view(np.uint64))
+        n += len(held[-1])
+        if n >= counted_at_once:
+            yield counted()
+            held, n = [], 0
+    if n:
+        yield counted()
+
+
+def hot_cells(prints: DataFrame, masks: list[int], cell: int = CELL, hot: int = HOT, counted: int = COUNTED) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, blocks) of the cells that aren't gathered, in order.
+
+    Each choice of groups has each fingerprint once, so at most
+    len(masks) / HOT_SHARE cells have that share: a bounded number.
+    """
+    least = max(hot, int(prints.count() * HOT_SHARE))
+    counts = prints.mapInArrow(lambda it: _count(it, masks, counted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= least).collect()
+    cells = np.array([r["cell"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(cells)
+    return cells[order], np.array([-(-r["n"] // cell) for r in rows], np.int64)[order]
+
+
+def _find(cells: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells are hot, and where in ``hot`` those are."""
+    if not len(hot):
+        return np.zeros(len(cells), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(hot, cells), len(hot) - 1)
+    found = hot[at] == cells
+    return found, at[found]
+
+
+def _hot_members(batches: Iterator[pa.RecordBatch], masks: list[int], hot: np.ndarray, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = batch.column(0).to_numpy().view(np.uint64)
+        cells = _cells_of(prints, masks)
+        found, at = _find(cells, hot)
+        u = np.tile(prints, len(masks))[found].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(blocks[at]), pa.array(cells[found].view(np.int64))], ["u", "blocks", "cell"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch], buckets: int, masks: list[int], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Distinct fingerprints to one binary row for each bucket of cells, without the hot ones."""
     for batch in batches:
         prints = batch.column(0).to_numpy().view(np.uint64)
-        vectors = embed(prints)
-        cells = np.concatenate([mix((vectors & np.uint64(m)) + mix(np.array([i], np.uint64))) for i, m in enumerate(masks)])
+        cells = _cells_of(prints, masks)
         rows = np.stack([cells, np.tile(prints, len(masks))], axis=1)
+        rows = rows[~_find(cells, hot)[0]]
+        cells = rows[:, 0]
         bucket = (cells % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rows, bucket = rows[order], bucket[order]
@@ -135,7 +199,7 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int, masks: list[int]) ->
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
 
-def _cells(rows: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _cells(rows: Iterator[pa.RecordBatch], distance: int, most: int) -> Iterator[pa.RecordBatch]:
     """Links within the cells of a bucket; members of crowded cells, with the number of blocks."""
     blobs = [np.frombuffer(x, np.uint64).reshape(-1, 2) for b in rows for x in b.column("rows").to_pylist()]
     table = np.concatenate(blobs)
@@ -161,12 +225,12 @@ def _cells(rows: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordB
         links([(prints[i[ok]], prints[i[ok] + shift])])
     for k in np.flatnonzero(size > SMALL):
         own = prints[edge[k] : edge[k + 1]]
-        if len(own) <= CELL:
+        if len(own) <= most:
             links(forest(own, distance=distance))
         else:
             u.append(own)
             v.append(own)
-            blocks.append(np.full(len(own), -(-len(own) // CELL), np.int64))
+            blocks.append(np.full(len(own), -(-len(own) // most), np.int64))
             where.append(np.full(len(own), cell[edge[k]]).view(np.int64))
     if u:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v, blocks, where)], ["u", "v", "blocks", "cell"])
@@ -181,21 +245,28 @@ def _block_pair(rows: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
+def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, cell: int = CELL, hot: int = HOT, counted: int = COUNTED) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints within ``distance``.
 
     ``prints``: one long column of distinct values.  The links span the same
     components as all pairs within the distance; they aren't all those pairs.
+    Cells of more than ``cell`` fingerprints are dealt in blocks, those of about
+    ``hot`` or more (counted ``counted`` fingerprints at a time) without being
+    gathered first.
     """
     spark = prints.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     masks = cell_masks(groups, distance)
-    dealt = prints.mapInArrow(lambda it: _deal(it, buckets, masks), "bucket long, rows binary")
-    found = settle(apply_groups(dealt, ["bucket"], lambda it: _cells(it, distance), "u long, v long, blocks long, cell long"))
+    skip, sizes = hot_cells(prints, masks, cell, hot, counted)
+    dealt = prints.mapInArrow(lambda it: _deal(it, buckets, masks, skip), "bucket long, rows binary")
+    found = settle(apply_groups(dealt, ["bucket"], lambda it: _cells(it, distance, cell), "u long, v long, blocks long, cell long"))
     links = found.where("blocks = 0").select("u", "v")
     # Crowded cells: each fingerprint meets every block once, in the pair's own task.
     own = F.pmod(F.xxhash64("u"), "blocks")
-    crowded = found.where("blocks > 0").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    crowded = found.where("blocks > 0").select("u", "blocks", "cell")
+    if len(skip):
+        crowded = crowded.unionByName(prints.mapInArrow(lambda it: _hot_members(it, masks, skip, sizes), "u long, blocks long, cell long"))
+    crowded = crowded.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = crowded.select("cell", "u", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     more = apply_groups(dealt, ["cell", "i", "j"], lambda it: _block_pair(it, distance), "u long, v long")
     return links.unionByName(more)

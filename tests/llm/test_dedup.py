@@ -96,9 +96,9 @@ def test_cells_lose_no_pair():
     assert (np.bitwise_count(a ^ b) <= np.bitwise_count(x ^ y)).all() and simhash.near(x, y).all()
 
 
-def test_crowded_cells(spark, monkeypatch):
-    """Fingerprints that all share cells come out in one component, by blocks, with few links."""
-    monkeypatch.setattr(simhash, "CELL", 40)
+@pytest.mark.parametrize("hot", [1 << 16, 100])
+def test_crowded_cells(spark, hot):
+    """Fingerprints that all share cells come out in one component, by blocks, gathered first or not."""
     rng = random.Random(9)
     prints = {0}
     while len(prints) < 250:
@@ -106,7 +106,9 @@ def test_crowded_cells(spark, monkeypatch):
         prints.add(p ^ (1 << rng.randrange(16)))
     far = (1 << 62) | (1 << 50) | (1 << 45) | (1 << 40) | (1 << 35) | (1 << 33)
     df = spark.createDataFrame([(p,) for p in prints] + [(far,)], "fingerprint long")
-    links = simhash.link_fingerprints(df).collect()
+    links = simhash.link_fingerprints(df, cell=40, hot=hot, counted=64).collect()
+    cells, blocks = simhash.hot_cells(df, simhash.cell_masks(), 40, hot, 64)
+    assert (len(cells) > 0) == (hot == 100) and (blocks >= 3).all()
     assert len(groups([*prints, far], links)) == 251 and len(set(groups([*prints, far], links).values())) == 2
 
 

@@ -399,7 +399,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Texts of at least ``passage`` words are linked if they share a passage of
     that length with a similarity of ``similar`` or more, or are equal.
     class_id is the least doc_id of those reachable, n_links the number of
-    different texts linked directly, spans the shared passages as ranges of
+    different texts with a verified link to it (in groups of over ``ALL_PAIRS``
+    texts not all pairs are compared, so those are fewer than all), spans the shared passages as ranges of
     words (at their first place in the text).  Null and short texts stand alone
     and name themselves, null ids have class_id null where alone.
     """

@@ -7,19 +7,21 @@ the compact window [l, r] that reaches from c to the next smaller hash on either
 side.  Windows that hold a passage of ``PASSAGE`` words are those whose c is the
 least of some ``PASSAGE - 4`` shingles, found by sliding minima.
 
-Texts that share a least hash meet in its group.  A pair of texts is a candidate
-where windows of at least two hash functions overlap by a passage in both texts
-(an interval join); its passages are then compared shingle by shingle.
+A pair of texts is a candidate where windows of at least two hash functions
+overlap by a passage in both texts; its passages are then compared shingle by
+shingle.  Windows whose least hash no other text has are dropped first.  The rest
+come back to their text, where every two that overlap by a passage make a key of
+their two hashes: texts that share a key are the candidates, and a hash that many
+texts have makes no pair by itself.
 
 Words that very many texts share can be the least ones of several functions, and
 hide what a few texts share around them.  So one more function, whose tokens are
 runs of ``RUN`` shingles, has windows of its own: texts that agree on such a
 token are a candidate by it alone, and equal passages always have one in common.
 
-Equal texts are one text throughout.  Groups are cut down before the shuffle: a
-task sends at most ``FORWARD`` windows of one hash and links the rest to its
-least texts itself.  Small groups give all pairs, larger ones link each text to
-the two least ones and to the one before it.
+Equal texts are one text throughout.  All pairs of the texts of a key are
+compared, whatever its size; those of more than ``ALL_PAIRS`` texts in pairs of
+blocks, which are dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +45,11 @@ HASHES = 5
 RUN = 32
 #: Shingles that a window is followed to each side; wider ones are cut there.
 REACH_BITS = 8
+#: Larger groups give their pairs by blocks.
 ALL_PAIRS = 5
-FORWARD = 8
-#: Windows that a task gathers before it combines and sends them.
+#: Texts of one key in a block.
+BLOCK = 512
+#: Windows, or pairs, that a task gathers before it combines and sends them.
 GATHER = 1_000_000
 #: The most texts whose keys are broadcast to choose the texts to compare; beyond, they are joined.
 BROADCAST_KEYS = 1_000_000
@@ -187,17 +192,12 @@ def _pair_bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows (kind 0) by a bucket of their least hash; links (kind 1) of crowded groups."""
+    """Windows by a bucket of their least hash."""
     held, n, seen = [], 0, set()
 
     def send():
-        rows, start, size = _sorted_runs(np.concatenate(held))
-        crowded = size > FORWARD
-        links = _pairs(rows[crowded], np.cumsum(crowded)[start[crowded]] - 1, size[crowded]) if crowded.any() else np.zeros((0, 4), np.uint64)
-        keep = ~crowded | (np.arange(len(rows)) - start < FORWARD)
-        rows = rows[keep]
+        rows = _sorted_runs(np.concatenate(held))[0]
         yield from _dealt(0, rows, (rows[:, 0] % np.uint64(buckets)).astype(np.int64), buckets)
-        yield from _dealt(1, links, _pair_bucket(links, buckets), buckets)
 
     for batch in batches:
         for part in blocks(batch, 1):
@@ -217,56 +217,121 @@ def _sketch(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iter
         yield from send()
 
 
-def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Links of the windows that share a least hash, by a bucket of the two texts."""
-    held = []
-    for b in batches:
-        for kind, raw in zip(b.column("kind").to_pylist(), b.column("rows").to_pylist(), strict=True):
-            if kind == 0:
-                held.append(np.frombuffer(raw, np.uint64).reshape(-1, 3))
-            else:
-                links = np.frombuffer(raw, np.uint64).reshape(-1, 4)
-                yield from _dealt(1, links, _pair_bucket(links, buckets), buckets)
-    if held:
-        rows, start, size = _sorted_runs(np.concatenate(held))
-        links = _pairs(rows, start, size)
-        yield from _dealt(1, links, _pair_bucket(links, buckets), buckets)
+def _read(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 3) for b in batches for x in b.column("rows").to_pylist()])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, a_from, a_to, b_from, b_to): shingle ranges in which two functions' windows, or one
-    of long tokens, overlap by a passage."""
-    rows = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 4) for b in batches for x in b.column("rows").to_pylist()])
-    if not len(rows):
-        return
-    al, ar, f = _unpack(rows[:, 2])
-    bl, br, _ = _unpack(rows[:, 3])
-    order = np.lexsort((al, rows[:, 1], rows[:, 0]))
-    rows, al, ar, bl, br, f = rows[order], al[order], ar[order], bl[order], br[order], f[order]
-    n = len(rows)
-    same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
-    pair = np.concatenate([[0], np.cumsum(~same)])
-    met = f == HASHES
-    for d in range(1, 3 * HASHES):
-        if n <= d:
+def _shared(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The windows whose least hash two texts or more have, by a bucket of the text."""
+    rows, _, size = _sorted_runs(_read(batches))
+    rows = rows[size > 1]
+    yield from _dealt(0, rows, (mix(rows[:, 1]) % np.uint64(buckets)).astype(np.int64), buckets)
+
+
+def _range(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (lo.astype(np.uint64) << np.uint64(32)) | hi.astype(np.uint64)
+
+
+def _ends(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(key, text, shingle range) of every two windows of a text that overlap by a passage, and of
+    each one of long tokens, by a bucket of the first function's hash."""
+    rows = _read(batches)
+    lo, hi, f = _unpack(rows[:, 2])
+    order = np.lexsort((lo, rows[:, 1]))
+    value, text, lo, hi, f = rows[order, 0], rows[order, 1], lo[order], hi[order], f[order]
+    far = np.flatnonzero(f == HASHES)
+    made, lead = [np.stack([mix(value[far]), text[far], _range(lo[far], hi[far])], axis=1)], [value[far]]
+    near = f < HASHES
+    value, text, lo, hi, f = value[near], text[near], lo[near], hi[near], f[near]
+    i = np.arange(len(f))
+    for d in range(1, len(f)):
+        i = i[i + d < len(f)]
+        i = i[(text[i] == text[i + d]) & (hi[i] - lo[i + d] + 1 >= least)]  # later ones begin later still
+        if not len(i):
             break
-        i, j = np.arange(n - d), np.arange(d, n)
-        ok = (pair[i] == pair[j]) & (f[i] != f[j])
-        ok &= np.minimum(ar[i], ar[j]) - np.maximum(al[i], al[j]) + 1 >= least
-        ok &= np.minimum(br[i], br[j]) - np.maximum(bl[i], bl[j]) + 1 >= least
-        met[:-d] |= ok
-        met[d:] |= ok
-    rows, al, ar, bl, br, pair = (x[met] for x in (rows, al, ar, bl, br, pair))
+        j = i + d
+        ok = (f[i] != f[j]) & (hi[j] - lo[j] + 1 >= least)
+        x, y = i[ok], j[ok]
+        one, two = np.where(f[x] < f[y], x, y), np.where(f[x] < f[y], y, x)
+        made.append(np.stack([mix(value[one] + mix(value[two])), text[x], _range(lo[x], np.maximum(hi[x], hi[y]))], axis=1))
+        lead.append(value[one])
+    yield from _dealt(0, np.concatenate(made), (np.concatenate(lead) % np.uint64(buckets)).astype(np.int64), buckets)
+
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Rows (a, b, range in a, range in b) by pair; ranges of a pair that overlap in the first text are one."""
     if not len(rows):
-        return
-    # Ranges of a pair that overlap in the first text are one.
-    top = ar.copy()
+        return rows
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    (al, ar), (bl, br) = _ends(rows[:, 2]), _ends(rows[:, 3])
+    pair = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
     base = pair * (int(ar.max()) + 2)
-    top = np.maximum.accumulate(top + base) - base
-    fresh = np.concatenate([[True], (pair[1:] != pair[:-1]) | (al[1:] > top[:-1])])
-    at = np.flatnonzero(fresh)
-    made = [rows[at, 0].view(np.int64), rows[at, 1].view(np.int64), al[at], np.maximum.reduceat(ar, at), np.minimum.reduceat(bl, at), np.maximum.reduceat(br, at)]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["a", "b", "a_from", "a_to", "b_from", "b_to"])
+    top = np.maximum.accumulate(ar + base) - base
+    at = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (al[1:] > top[:-1])]))
+    own = _range(al[at], np.maximum.reduceat(ar, at))
+    return np.stack([rows[at, 0], rows[at, 1], own, _range(np.minimum.reduceat(bl, at), np.maximum.reduceat(br, at))], axis=1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (kind 1) of the texts that share a key, by a bucket of the two; pairs of blocks (kind 2) of larger groups."""
+    rows, start, size = _sorted_runs(_read(batches))
+    small = size <= ALL_PAIRS
+    links = _merged(_pairs(rows[small], np.cumsum(small)[start[small]] - 1, size[small]))
+    for batch in _dealt(1, links, _pair_bucket(links, buckets), buckets):
+        yield batch.append_column("other", pa.array([b""] * batch.num_rows, pa.binary()))
+    for at in np.unique(start[~small]).tolist():
+        parts = [rows[k : min(k + BLOCK, at + size[at])] for k in range(at, at + int(size[at]), BLOCK)]
+        salt = mix(rows[at : at + 1, 0])
+        for i, one in enumerate(parts):
+            own = [x.tobytes() for x in parts[i:]]
+            deal = (mix(salt + np.uint64(i << 32) + np.arange(len(own)).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            cols = [pa.array(deal), pa.array(np.full(len(own), 2, np.int32)), pa.array([one.tobytes()] * len(own), pa.binary()), pa.array([b"", *own[1:]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "kind", "rows", "other"])
+
+
+def _cross(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of the texts of two blocks, or of one where there is no other; pairs as they are."""
+    held, n = [], 0
+
+    def send():
+        links = _merged(np.concatenate(held))
+        yield from _dealt(1, links, _pair_bucket(links, buckets), buckets)
+
+    for b in batches:
+        pairs = pa.compute.equal(b.column("kind"), 1)
+        yield b.filter(pairs).select(["bucket", "kind", "rows"])
+        b = b.filter(pa.compute.invert(pairs))
+        for x, y in zip(b.column("rows").to_pylist(), b.column("other").to_pylist(), strict=True):
+            left = np.frombuffer(x, np.uint64).reshape(-1, 3)
+            right = np.frombuffer(y, np.uint64).reshape(-1, 3) if y else left
+            i, j = np.indices((len(left), len(right))).reshape(2, -1) if y else np.triu_indices(len(left), 1)
+            held.append(np.stack([left[i, 1], right[j, 1], left[i, 2], right[j, 2]], axis=1))
+            n += len(i)
+            if n >= GATHER:
+                yield from send()
+                held, n = [], 0
+    if n:
+        yield from send()
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, a_from, a_to, b_from, b_to): shingle ranges to compare."""
+    held, n = [], 0
+    for b in batches:
+        for raw in b.column("rows").to_pylist():
+            held.append(np.frombuffer(raw, np.uint64).reshape(-1, 4))
+            n += len(held[-1])
+        if n >= 4 * GATHER:
+            held, n = [_merged(np.concatenate(held))], 0
+    rows = _merged(np.concatenate(held))
+    if len(rows):
+        (al, ar), (bl, br) = _ends(rows[:, 2]), _ends(rows[:, 3])
+        made = [rows[:, 0].copy().view(np.int64), rows[:, 1].copy().view(np.int64), al, ar, bl, br]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["a", "b", "a_from", "a_to", "b_from", "b_to"])
 
 
 def _follow(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
@@ -359,8 +424,12 @@ def link_passages(texts: DataFrame, passage: int = PASSAGE, similar: float = SIM
     spark, least = texts.sparkSession, passage - SHINGLE + 1
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     sent = lean(texts).select("tag", "text").mapInArrow(lambda it: _sketch(it, least, buckets), "bucket long, kind int, rows binary")
-    met = apply_groups(sent, ["bucket"], lambda it: _meet(it, buckets), "bucket long, kind int, rows binary")
-    found = settle(apply_groups(met, ["bucket"], lambda it: _candidates(it, least), "a long, b long, a_from long, a_to long, b_from long, b_to long"))
+    shared = apply_groups(sent, ["bucket"], lambda it: _shared(it, buckets), "bucket long, kind int, rows binary")
+    keyed = apply_groups(shared, ["bucket"], lambda it: _keys(it, least, buckets), "bucket long, kind int, rows binary")
+    met = apply_groups(keyed, ["bucket"], lambda it: _meet(it, buckets), "bucket long, kind int, rows binary, other binary")
+    # A count of its own, so that few bytes that make many pairs aren't put into few tasks.
+    crossed = met.repartition(buckets, "bucket").mapInArrow(lambda it: _cross(it, buckets), "bucket long, kind int, rows binary")
+    found = settle(apply_groups(crossed, ["bucket"], _candidates, "a long, b long, a_from long, a_to long, b_from long, b_to long"))
     asked = found.select(F.col("a").alias("tag"), "a", "b", "a_from", F.lit(0).alias("side"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi"))
     asked = asked.unionByName(found.select(F.col("b").alias("tag"), "a", "b", "a_from", F.lit(1).alias("side"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi")))
     needed = settle(asked.select("tag").distinct())
@@ -399,8 +468,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Texts of at least ``passage`` words are linked if they share a passage of
     that length with a similarity of ``similar`` or more, or are equal.
     class_id is the least doc_id of those reachable, n_links the number of
-    different texts with a verified link to it (in groups of over ``ALL_PAIRS``
-    texts not all pairs are compared, so those are fewer than all), spans the shared passages as ranges of
+    different texts with a verified link to it, spans the shared passages as ranges of
     words (at their first place in the text).  Null and short texts stand alone
     and name themselves, null ids have class_id null where alone.
     """

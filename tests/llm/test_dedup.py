@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -233,6 +234,29 @@ def test_crowded_groups():
     assert len(set(groups(range(100, 100 + n), links[:, :2].tolist()).values())) == 1 and len(links) <= 3 * n
 
 
+def test_all_links_of_crowded_groups(spark):
+    """Every pair of many near copies is linked, however the texts fall into tasks, blocks and batches."""
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    base, docs = say(120), []
+    for k in range(40):
+        copy = list(base)
+        copy[30 + k] = f"own{k}"
+        docs.append((k, " ".join(copy)))
+    for parts in (1, 5):
+        got = substring.dedup_substrings(frame(spark, docs).repartition(parts)).collect()
+        assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {k: (0, 39) for k in range(40)}
+
+
+def test_blocks_give_each_pair_once():
+    n = 2 * substring.BLOCK + 30
+    rows = np.stack([np.full(n, 9), np.arange(n), np.full(n, 60)], axis=1).astype(np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["rows"])
+    out = [np.frombuffer(x, np.uint64).reshape(-1, 4) for b in substring._cross(substring._meet(iter([batch]), 4), 4) for x in b.column("rows").to_pylist()]
+    links = np.concatenate(out)[:, :2]
+    assert len(links) == len(np.unique(links, axis=0)) == n * (n - 1) // 2 and (links[:, 0] < links[:, 1]).all()
+
+
 def test_repeated_words():
     """Runs of one word are passages too, wherever they change to the next word."""
     a = np.array([1] * 90 + [2, 3, 4, 5] + [6] * 70, np.uint32)

@@ -248,6 +248,18 @@ def test_all_links_of_crowded_groups(spark):
         assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {k: (0, 39) for k in range(40)}
 
 
+def test_every_window_is_sent():
+    """Of a hash that many texts of a task have, each text's window goes on."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**7)}" for _ in range(80)]
+    texts = [" ".join([*base, f"own{k}"]) for k in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(texts)], ["tag", "text"])
+    rows = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 3) for b in substring._sketch(iter([batch]), 46, 4) for x in b.column("rows").to_pylist()])
+    data, off = substring.text_bytes(pa.array(texts))
+    want = {(v, r) for value, row, *_ in substring.all_windows(*substring.shingles(data, off), 46) for v, r in zip(value.tolist(), row.tolist(), strict=True)}
+    assert {(v, r) for v, r in rows[:, :2].tolist()} == want
+
+
 def test_blocks_give_each_pair_once():
     n = 2 * substring.BLOCK + 30
     rows = np.stack([np.full(n, 9), np.arange(n), np.full(n, 60)], axis=1).astype(np.uint64)

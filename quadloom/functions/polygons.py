@@ -65,16 +65,16 @@ def overlap(a: Ring, b: Ring) -> float:
     return min(1.0, covered_area(a, [b]) / whole) if whole else 0.0
 
 
-def greedy_cover(aoi: Ring, scenes: list[tuple[object, Ring]], most: int, tolerance: float = 0.001) -> list[tuple[object, float]]:
+def greedy_cover(aoi: Ring, scenes: list[tuple[object, Ring]], most: int | None = None, tolerance: float = 0.001) -> list[tuple[object, float]]:
     """(scene, share covered so far): the best scene first, then whichever adds most.
 
     At least a second scene is taken where there is one, even if the first one
-    covers all.  Ties go to the scene that comes first.
+    covers all, and at most ``most``.  Ties go to the scene that comes first.
     """
     whole = area(aoi)
     left, taken, rings = list(scenes), [], []
     share = 0.0
-    while left and len(taken) < most and (len(taken) < 2 or share + tolerance <= 1):
+    while left and (most is None or len(taken) < most) and (len(taken) < 2 or share + tolerance <= 1):
         scored = [(covered_area(aoi, [*rings, r]) / whole if whole else 0.0, -i) for i, (_, r) in enumerate(left)]
         share, at = max(scored)
         key, ring = left.pop(-at)

@@ -92,9 +92,11 @@ def group_coverage(pairs: DataFrame) -> DataFrame:
     return held.groupBy("aoi_id").applyInPandas(cover, "aoi_id long, coverage double")
 
 
-def cover(pairs: DataFrame, most: int = 10, tolerance: float = 0.001) -> DataFrame:
+def cover(pairs: DataFrame, most: int | None = None, tolerance: float = 0.001) -> DataFrame:
     """(aoi_id, step, scene_id, coverage): a greedy choice of scenes for each area.
 
+    It goes on until the area is covered, the scenes end or there are ``most``.
+
     Of scenes that cover the same part of an area, the least id is a candidate,
     which keeps a group at its distinct clipped boxes.
     """

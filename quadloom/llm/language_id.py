@@ -9,18 +9,22 @@ language, so that transitions are learned too.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, text_bytes
+from .common import append_columns, settle, text_bytes
 from .crf import Crf, Features, fit, line_words
 
 PER_LABEL = 400
 FIT_CHARS = 2000
-#: The most labels that are learned, the most frequent ones.
+#: Every label is learned; beyond this many, fewer rows of each, in a smaller table of weights.
 LABELS = 64
+#: Rows of each label that are drawn, however many labels there are.
+LEAST_ROWS = 20
 UNKNOWN = "und"
 #: A text whose best label has a lower score is rejected by the filter.
 LEAST_SCORE = 0.4
@@ -35,18 +39,18 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def draw(docs: DataFrame, label: str, key: str, per_label: int, labels: int) -> DataFrame:
-    """About ``per_label`` rows of each label, chosen by a hash of ``key``.
+    """About ``per_label`` rows of each label, chosen by a hash of ``key``; of more than ``labels``
+    labels as many rows in all, and at least about LEAST_ROWS of each.
 
     The counts come first, from the label column alone.
     """
-    counts = docs.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
-    if not counts:
-        return docs.limit(0)
+    counts = settle(docs.groupBy(label).agg(F.count("*").alias("_rows")))
+    n = counts.count()
+    if n > labels:
+        per_label = max(per_label * labels // n, min(per_label, LEAST_ROWS))
     share = F.pmod(F.xxhash64(F.lit(11), F.col(key).cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    pick = F.lit(False)
-    for r in counts:
-        pick = pick | ((F.col(label) == r[label]) & (share < 1.2 * per_label / r["count"]))
-    return docs.where(pick).limit(2 * per_label * len(counts))
+    taken = docs.join(F.broadcast(counts), label).where(share < 1.2 * per_label / F.col("_rows"))
+    return taken.drop("_rows").limit(2 * per_label * n)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_label: int = PER_LABEL, seed: int = 3) -> Crf | None:
@@ -90,7 +94,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     gold_of = np.array(marks)[np.searchsorted(edge, starts, "right") - 1]
     if not len(codes):
         return None
-    return fit(labels, FEATURES, distinct, codes, begin, gold_of)
+    # Weights and a step's words hold a number for each label: of more labels, fewer of both.
+    more = -(-len(labels) // LABELS)
+    features = replace(FEATURES, bits=FEATURES.bits - (more - 1).bit_length())
+    return fit(labels, features, distinct, codes, begin, gold_of, batches=12 * more)
 
 
 def identify(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
@@ -134,4 +141,4 @@ def identify(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFram
 
         return step
 
-    return append_columns(docs, text, "lang_pred string, score double, word_langs array<struct<lang:string,n_words:long>>", work, limit=BLOCK)
+    return append_columns(docs, text, "lang_pred string, score double, word_langs array<struct<lang:string,n_words:long>>", work, limit=BLOCK // -(-max(1, len(model.labels) if model else 0) // LABELS))

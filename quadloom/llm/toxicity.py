@@ -25,7 +25,7 @@ from .crf import Crf, Features, fit, line_words
 
 TOXIC = 1200
 CLEAN = 3600
-#: Longer texts aren't drawn for the fit; every text is scored whole.
+#: Of a longer text the fit has a piece of this size; every text is scored whole.
 FIT_CHARS = 6000
 FEATURES = Features(prefixes=(4, 5, 6, 7, 8), suffixes=(5, 6, 7))
 #: A word with a marginal of at least this is part of an offending span.
@@ -45,6 +45,8 @@ class Tagger:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", yes: int = TOXIC, no: int = CLEAN, chars: int = FIT_CHARS) -> tuple[list, float]:
     """At most ``yes`` rows with label 1 and ``no`` with 0, by a hash of the id: (id hash, label, text).
 
+    Of a text of more than ``chars`` characters a piece from a place that its id decides.
+
     Also the logarithm of how many times likelier label 1 is among all labelled
     rows than among those drawn.  An id with both labels, or none, isn't drawn.
     """
@@ -58,8 +60,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_
             pick = pick | ((F.col("_label") == value) & (share < most / n[value]))
     # About yes + no rows of two numbers, whatever the size of the corpus.
     chosen = F.broadcast(known.where(pick).limit(2 * (yes + no)))
-    body = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).where(F.length("_text") <= chars)
-    rows = body.join(chosen, "_id").select(F.xxhash64("_id").alias("h"), F.col("_label").alias("label"), F.col("_text").alias("text")).limit(2 * (yes + no)).collect()
+    body = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).where("_text IS NOT NULL")
+    place = (F.pmod(F.xxhash64("_id"), F.greatest(F.length("_text") - chars, F.lit(0)) + 1) + 1).cast("int")
+    piece = F.substring(F.col("_text"), place, F.lit(chars))
+    rows = body.join(chosen, "_id").select(F.xxhash64("_id").alias("h"), F.col("_label").alias("label"), piece.alias("text")).limit(2 * (yes + no)).collect()
     drawn = sorted(((r["h"], r["label"], r["text"]) for r in rows), key=lambda r: (r[0], r[2]))
     got = Counter(r[1] for r in drawn)
     shift = float(np.log(n[1] / n[0]) - np.log(got[1] / got[0])) if got[1] and got[0] else 0.0

@@ -27,14 +27,14 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where no folder is named (tests on one machine) a temporary one is set.
+    Only where no folder is named and all runs on one machine (tests) a
+    temporary one is set; a cluster without a shared folder is an error.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None)
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='quadloom-')}"
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quadloom-')}")
         named = spark.sparkContext.getCheckpointDir()
     return named
 
@@ -47,16 +47,46 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the tasks that read this table, not
     the work that made it.  The schema is given, so that reading starts no job.
+    ``by`` names a column whose values get folders of their own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quadloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=by)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    _SETTLED.append(path)
+    return out
+
+
+#: Folders that settle has written in this process and that are still there.
+_SETTLED: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _SETTLED.remove(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for t in tables:
+        if getattr(t, "_settled", None) in _SETTLED:
+            _delete(t.sparkSession, t._settled)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all settled tables, once the results that read them have been written."""
+    n = len(_SETTLED)
+    for path in list(_SETTLED):
+        _delete(spark, path)
+    return n
 
 
 def drop_like(df: DataFrame, names: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         new = settle(_star(_star(now, large=True), large=False))
+        release(now)
         seen = new.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         now = new
         if mark == tuple(seen):

@@ -19,14 +19,27 @@ hide what a few texts share around them.  So one more function, whose tokens are
 runs of ``RUN`` shingles, has windows of its own: texts that agree on such a
 token are a candidate by it alone, and equal passages always have one in common.
 
-Equal texts are one text throughout.  All pairs of the texts of a key are
-compared, whatever its size; those of more than ``ALL_PAIRS`` texts in pairs of
-blocks, which are dealt over all tasks.
+Which of a key's pairs are compared
+-----------------------------------
+
+Equal texts are one text throughout.  First each text of a key is compared with
+the one of the least tag (in a task, then across tasks).  What is verified makes
+regions, the stretches of a text that lie in verified passages, and regions that
+are linked, directly or over others, make one class of regions.  Where the places
+of a key lie in several classes, a text of each is compared with one of the
+largest (``ROUNDS`` times).  Then all pairs of texts of a key are compared whose
+texts aren't connected by then, whatever their number, dealt in pairs of blocks
+over all tasks.  So no two texts that share a key and a similar passage are left
+in different classes, and a group of thousands of copies costs a few comparisons
+a copy.  What remains quadratic are texts that share keys and are in no way
+connected.  Within a class not every pair is compared, so the passages found are
+those that connect it, and those that texts share with a representative.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +47,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, append_columns, apply_groups, blocks, lean, mix, settle, text_bytes, word_codes, words
+from .common import LOWER, SPACED, append_columns, apply_groups, blocks, lean, mix, release, runs, settle, text_bytes, words
 from .components import components
 
 SHINGLE = 5
@@ -43,37 +56,77 @@ SIMILAR = 0.8
 HASHES = 5
 #: Shingles in a token of the function of long tokens (a power of two), whose number is HASHES.
 RUN = 32
-#: Shingles that a window is followed to each side; wider ones are cut there.
-REACH_BITS = 8
-#: Larger groups give their pairs by blocks.
-ALL_PAIRS = 5
+#: Shingles that a window is followed to each side, 2**bits - 1: a passage of PASSAGE words reaches
+#: less far from its least hash, and longer passages hold passages of that size.
+REACH_BITS = 6
+#: Of equal neighbouring shingles one in so many is kept: 2**REACH_BITS - THIN shingles hold a passage.
+THIN = 16
+#: Rounds in which classes of a key are compared by representatives before all pairs are.
+ROUNDS = 1
 #: Texts of one key in a block.
 BLOCK = 512
+#: Shingles to each side of a place of a key, within which a passage of PASSAGE words around it lies.
+NEAR = 60
+#: Ranges asked of a text at once, and pairs that a bucket compares.
+ASKED, COMPARED = 2000, 20_000
+#: Rows of keys in a bucket.
+CROSSED = 50_000
+#: Words of text for each bucket of windows (about 40 MB).
+BUCKET_WORDS = 4_000_000
 #: Windows, or pairs, that a task gathers before it combines and sends them.
 GATHER = 1_000_000
+#: Bytes of text that are hashed at once; a longer text alone.
+BLOCK_BYTES = 1 << 19
 #: The most texts whose keys are broadcast to choose the texts to compare; beyond, they are joined.
 BROADCAST_KEYS = 1_000_000
+#: Parts in which the texts of one class meet its least id.
+SALTS = 256
 #: Matching shingles this far apart still belong to one passage.
 GAP = 20
 
 
+_ODD = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, up to n - 1; kept for the next call."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            each = np.full(2 * n, base, np.uint64)
+            each[0] = 1
+            _POWERS[k] = np.multiply.accumulate(each)
+    return [x[:n] for x in _POWERS]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: a polynomial by prefix sums, then mixed."""
+    power, back = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    each = data.astype(np.uint64)
+    each += np.uint64(1)
+    each *= power[:-1]
+    np.cumsum(each, out=total[1:])
+    own = total[ends]
+    own -= total[starts]
+    own *= back[starts]
+    return mix(own)
+
+
 def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, first, count): 64-bit hashes of the shingles; rows' ranges of words.
 
     The hash at a word is that of the shingle that begins there, valid for all
     but a row's last ``size - 1`` words.
     """
-    from xxhash import xxh3_64_intdigest
-
     data = LOWER[data]
     starts, ends, first = words(data, off, SPACED)
-    codes, distinct = word_codes(data, starts, ends)
-    value = np.fromiter((xxh3_64_intdigest(x) for x in distinct.to_pylist()), np.uint64, len(distinct))
-    each = value[codes] if len(codes) else np.zeros(0, np.uint64)
+    each = word_hashes(data, starts, ends)
     total = np.zeros(max(0, len(each) - size + 1), np.uint64)
     for j in range(size):
-        total = mix(total + each[j : j + len(total)])
-    return total, first, np.diff(first)
+        total *= np.uint64(_ODD)
+        total += each[j : j + len(total)]
+    return mix(total), first, np.diff(first)
 
 
 def run_hashes(hashes: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -124,6 +177,12 @@ def compact_windows(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, le
         c = (wide[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         c = c[np.concatenate([[True], c[1:] != c[:-1]])]
         row = row_of[c]
+        # Of a run of one shingle each place is a least one; the first of every THIN reaches as far.
+        fresh = np.concatenate([[True], (own[c[1:]] != own[c[:-1]]) | (row[1:] != row[:-1])])
+        since = c - c[np.maximum.accumulate(np.where(fresh, np.arange(len(c)), 0))]
+        thin = fresh.copy()
+        thin[1:] |= since[1:] // THIN != since[:-1] // THIN
+        c, row = c[thin], row[thin]
         left, right = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
         for k in range(min(REACH_BITS, len(tables)) - 1, -1, -1):
             step, t = 1 << k, tables[k]
@@ -143,38 +202,46 @@ def _pack(c: np.ndarray, left: np.ndarray, right: np.ndarray, f: int) -> np.ndar
     return (c.astype(np.uint64) << np.uint64(24)) | (left.astype(np.uint64) << np.uint64(16)) | (right.astype(np.uint64) << np.uint64(8)) | np.uint64(f)
 
 
-def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first shingle, last shingle, function)."""
+def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first shingle, last shingle, the least one, function)."""
     c, left, right = ((p >> np.uint64(s)).astype(np.int64) & m for s, m in ((24, (1 << 40) - 1), (16, 255), (8, 255)))
     f = (p & np.uint64(255)).astype(np.int64)
-    return c - left, c + right + (RUN - 1) * (f == HASHES), f
+    return c - left, c + right + (RUN - 1) * (f == HASHES), c, f
+
+
+#: In place of a window: says that another text has the hash.
+WITNESS = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _sorted_runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows by (value, text, place), the first of each (value, text), with run starts and sizes for each row."""
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The different rows, in order of their columns."""
+    rows = rows[np.argsort(rows[:, 0])]
     keep = np.ones(len(rows), bool)
-    keep[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-    rows = rows[keep]
-    edge = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
+    same = rows[1:, 0] == rows[:-1, 0]
+    tied = np.zeros(len(rows), bool)
+    tied[1:] = same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    part = rows[at]
+    rows[at] = part[np.lexsort(part.T[::-1])]
+    keep[1:] = ~same | (rows[1:, 1:] != rows[:-1, 1:]).any(axis=1)
+    return rows[keep]
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, texts) of each row's run of equal values; rows are in order of (value, text)."""
+    edge = runs(rows[:, 0])
+    new = np.ones(len(rows), np.int64)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
     size = np.diff(edge)
-    return rows, np.repeat(edge[:-1], size), np.repeat(size, size)
+    return np.repeat(edge[:-1], size), np.repeat(np.add.reduceat(new, edge[:-1]), size) if len(rows) else new
 
 
-def _pairs(rows: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """(text, text, window, window) of the links within runs."""
-    n, at = len(rows), np.arange(len(rows))
-    left, right = [], []
-    for d in range(1, ALL_PAIRS):
-        i = np.flatnonzero((start[d:] == start[:-d]) & ((size[d:] <= ALL_PAIRS) | (d == 1))) if n > d else np.zeros(0, np.int64)
-        left.append(i)
-        right.append(i + d)
-    for pivot in (0, 1):
-        i = np.flatnonzero((size > ALL_PAIRS) & (at - start > pivot + 1))
-        left.append(start[i] + pivot)
-        right.append(i)
-    a, b = np.concatenate(left), np.concatenate(right)
-    return np.stack([rows[a, 1], rows[b, 1], rows[a, 2], rows[b, 2]], axis=1)
+def _first_places(rows: np.ndarray) -> np.ndarray:
+    """Of rows in order, the first of each (value, text)."""
+    keep = np.ones(len(rows), bool)
+    keep[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    return rows[keep]
 
 
 def _dealt(kind: int, rows: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -187,20 +254,40 @@ def _dealt(kind: int, rows: np.ndarray, bucket: np.ndarray, buckets: int) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(np.full(len(used), kind, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "rows"])
 
 
-def _pair_bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(pairs[:, 0] + mix(pairs[:, 1])) % np.uint64(buckets)).astype(np.int64)
+def _of(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(x) % np.uint64(buckets)).astype(np.int64)
+
+
+def _read(batches: Iterator[pa.RecordBatch], width: int, kind: int | None = None) -> np.ndarray:
+    blobs = [np.zeros((0, width), np.uint64)]
+    for b in batches:
+        for x, k in zip(b.column("rows").to_pylist(), b.column("kind").to_pylist(), strict=True):
+            if kind is None or k == kind:
+                blobs.append(np.frombuffer(x, np.uint64).reshape(-1, width))
+    return np.concatenate(blobs)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows by a bucket of their least hash."""
+    """Windows (value, text, place) by a bucket of their least hash (kind 0).
+
+    Those whose hash two texts of a task have go to a bucket of their text at
+    once (kind 1), and one row stays to tell other tasks of it: a hash that very
+    many texts have isn't gathered anywhere.
+    """
     held, n, seen = [], 0, set()
 
     def send():
-        rows = _sorted_runs(np.concatenate(held))[0]
+        rows = _distinct(np.concatenate(held))
+        start, texts = _runs(rows)
+        shared = texts > 1
+        yield from _dealt(1, rows[shared], _of(rows[shared, 1], buckets), buckets)
+        tell = rows[shared & (start == np.arange(len(rows)))]
+        tell[:, 2] = WITNESS
+        rows = np.concatenate([rows[~shared], tell])
         yield from _dealt(0, rows, (rows[:, 0] % np.uint64(buckets)).astype(np.int64), buckets)
 
     for batch in batches:
-        for part in blocks(batch, 1):
+        for part in blocks(batch, 1, BLOCK_BYTES):
             tag = part.column(0).to_numpy()
             new = np.array([t not in seen and not seen.add(t) for t in tag.tolist()], bool)
             part = part.filter(pa.array(new))
@@ -217,15 +304,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iter
         yield from send()
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 3) for b in batches for x in b.column("rows").to_pylist()])
-
-
 def _shared(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The windows whose least hash two texts or more have, by a bucket of the text."""
-    rows, _, size = _sorted_runs(_read(batches))
-    rows = rows[size > 1]
-    yield from _dealt(0, rows, (mix(rows[:, 1]) % np.uint64(buckets)).astype(np.int64), buckets)
+    batches = list(batches)
+    known, rows = _read(batches, 3, 1), _distinct(_read(batches, 3, 0))
+    start, texts = _runs(rows)
+    told = np.zeros(len(rows), bool)
+    told[start[rows[:, 2] == WITNESS]] = True
+    rows = np.concatenate([known, rows[((texts > 1) | told[start]) & (rows[:, 2] != WITNESS)]])
+    yield from _dealt(0, rows, _of(rows[:, 1], buckets), buckets)
 
 
 def _range(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -236,39 +323,88 @@ def _ends(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(key, text, shingle range) of every two windows of a text that overlap by a passage, and of
-    each one of long tokens, by a bucket of the first function's hash."""
-    rows = _read(batches)
-    lo, hi, f = _unpack(rows[:, 2])
-    order = np.lexsort((lo, rows[:, 1]))
-    value, text, lo, hi, f = rows[order, 0], rows[order, 1], lo[order], hi[order], f[order]
-    far = np.flatnonzero(f == HASHES)
-    made, lead = [np.stack([mix(value[far]), text[far], _range(lo[far], hi[far])], axis=1)], [value[far]]
-    near = f < HASHES
-    value, text, lo, hi, f = value[near], text[near], lo[near], hi[near], f[near]
+def _place(lo: np.ndarray, at: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A shingle and the range around it in one number."""
+    return (at.astype(np.uint64) << np.uint64(24)) | ((at - lo).astype(np.uint64) << np.uint64(12)) | (hi - at).astype(np.uint64)
+
+
+def _around(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, left, right = ((place >> np.uint64(s)).astype(np.int64) & m for s, m in ((24, (1 << 40) - 1), (12, 4095), (0, 4095)))
+    return at - left, at, at + right
+
+
+def _text_keys(rows: np.ndarray, least: int) -> np.ndarray:
+    """(key, text, place) of every two windows of a text that overlap by a passage, and of each one
+    of long tokens; the first place of a key in each text."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1]))]
+    rows = rows[np.concatenate([np.ones(min(1, len(rows)), bool), (rows[1:, 1:] != rows[:-1, 1:]).any(axis=1)])]
+    value, text = rows[:, 0], rows[:, 1]
+    lo, hi, c, f = _unpack(rows[:, 2])
+    far = f == HASHES
+    made = [np.stack([mix(value[far]), text[far], _place(lo[far], c[far], hi[far])], axis=1)]
+    value, text, lo, hi, c, f = (x[~far] for x in (value, text, lo, hi, c, f))
     i = np.arange(len(f))
     for d in range(1, len(f)):
         i = i[i + d < len(f)]
-        i = i[(text[i] == text[i + d]) & (hi[i] - lo[i + d] + 1 >= least)]  # later ones begin later still
+        i = i[(text[i] == text[i + d]) & (c[i + d] - c[i] < least + THIN)]  # both least hashes lie in one passage
         if not len(i):
             break
         j = i + d
-        ok = (f[i] != f[j]) & (hi[j] - lo[j] + 1 >= least)
+        ok = (f[i] != f[j]) & (np.minimum(hi[i], hi[j]) - np.maximum(lo[i], lo[j]) + 1 >= least)
         x, y = i[ok], j[ok]
         one, two = np.where(f[x] < f[y], x, y), np.where(f[x] < f[y], y, x)
-        made.append(np.stack([mix(value[one] + mix(value[two])), text[x], _range(lo[x], np.maximum(hi[x], hi[y]))], axis=1))
-        lead.append(value[one])
-    yield from _dealt(0, np.concatenate(made), (np.concatenate(lead) % np.uint64(buckets)).astype(np.int64), buckets)
+        made.append(np.stack([mix(value[one] + mix(value[two])), text[x], _place(np.minimum(lo[x], lo[y]), c[one], np.maximum(hi[x], hi[y]))], axis=1))
+    return _first_places(_distinct(np.concatenate(made)))
+
+
+def _star(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows (a, b, range in a, range in b): each text of a key with the first one."""
+    at = np.flatnonzero(start != np.arange(len(rows)))
+    return _pairs_of(rows[start[at], 1], rows[at, 1], rows[start[at], 2], rows[at, 2])
+
+
+def _pairs_of(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    (al, _, ar), (bl, _, br) = _around(at_a), _around(at_b)
+    return _merged(np.stack([a, b, _range(al, ar), _range(bl, br)], axis=1))
+
+
+def _keys(batches: Iterator[pa.RecordBatch], least: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of the keys of a bucket of texts: pairs of each text with a key's first (kind 1), by a bucket
+    of the two; that first text (kind 0), with how many there are, by a bucket of the key; and the
+    others (kind 3)."""
+    rows = _text_keys(_read(batches, 3), least)
+    start, texts = _runs(rows)
+    pairs = _star(rows, start)
+    yield from _dealt(1, pairs, _of(pairs[:, 0] + mix(pairs[:, 1]), buckets), buckets)
+    top = start == np.arange(len(rows))
+    yield from _dealt(3, rows[~top], np.zeros((~top).sum(), np.int64), 1)
+    first = np.concatenate([rows[top], texts[top, None].astype(np.uint64)], axis=1)
+    yield from _dealt(0, first, (first[:, 0] % np.uint64(buckets)).astype(np.int64), buckets)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (kind 1) of the first texts of the tasks that have a key; those of keys of three texts or more (kind 3)."""
+    rows = _read(batches, 4)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    start = _runs(rows)[0]
+    pairs = _star(rows, start)
+    yield from _dealt(1, pairs, _of(pairs[:, 0] + mix(pairs[:, 1]), buckets), buckets)
+    total = np.zeros(len(rows), np.int64)
+    np.add.at(total, start, rows[:, 3].astype(np.int64))
+    more = rows[total[start] > 2, :3]
+    yield from _dealt(3, more, np.zeros(len(more), np.int64), 1)
 
 
 def _merged(rows: np.ndarray) -> np.ndarray:
-    """Rows (a, b, range in a, range in b) by pair; ranges of a pair that overlap in the first text are one."""
+    """Rows (a, b, range in a, range in b) by pair; ranges of a pair that overlap in the first text,
+    at about the same distance from those in the second, are one."""
     if not len(rows):
         return rows
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    apart = (rows[:, 2] >> np.uint64(32)).astype(np.int64) - (rows[:, 3] >> np.uint64(32)).astype(np.int64) >> 8
+    order = np.lexsort((rows[:, 2], apart, rows[:, 1], rows[:, 0]))
+    rows, apart = rows[order], apart[order]
     (al, ar), (bl, br) = _ends(rows[:, 2]), _ends(rows[:, 3])
-    pair = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
+    pair = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (apart[1:] != apart[:-1]))])
     base = pair * (int(ar.max()) + 2)
     top = np.maximum.accumulate(ar + base) - base
     at = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (al[1:] > top[:-1])]))
@@ -276,58 +412,124 @@ def _merged(rows: np.ndarray) -> np.ndarray:
     return np.stack([rows[at, 0], rows[at, 1], own, _range(np.minimum.reduceat(bl, at), np.maximum.reduceat(br, at))], axis=1)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (kind 1) of the texts that share a key, by a bucket of the two; pairs of blocks (kind 2) of larger groups."""
-    rows, start, size = _sorted_runs(_read(batches))
-    small = size <= ALL_PAIRS
-    links = _merged(_pairs(rows[small], np.cumsum(small)[start[small]] - 1, size[small]))
-    for batch in _dealt(1, links, _pair_bucket(links, buckets), buckets):
-        yield batch.append_column("other", pa.array([b""] * batch.num_rows, pa.binary()))
-    for at in np.unique(start[~small]).tolist():
-        parts = [rows[k : min(k + BLOCK, at + size[at])] for k in range(at, at + int(size[at]), BLOCK)]
-        salt = mix(rows[at : at + 1, 0])
-        for i, one in enumerate(parts):
-            own = [x.tobytes() for x in parts[i:]]
-            deal = (mix(salt + np.uint64(i << 32) + np.arange(len(own)).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-            cols = [pa.array(deal), pa.array(np.full(len(own), 2, np.int32)), pa.array([one.tobytes()] * len(own), pa.binary()), pa.array([b"", *own[1:]], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["bucket", "kind", "rows", "other"])
-
-
-def _cross(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of the texts of two blocks, or of one where there is no other; pairs as they are."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column("rows").to_pylist():
+            rows = np.frombuffer(x, np.uint64).reshape(-1, 3)
+            for k in range(0, len(rows), 1 << 16):
+                part = rows[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(y).view(np.int64)) for y in (part[:, 0], part[:, 1], _around(part[:, 2])[1], part[:, 2])], ["key", "tag", "at", "place"])
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, at, b, at) by a bucket of the two."""
     held, n = [], 0
 
     def send():
-        links = _merged(np.concatenate(held))
-        yield from _dealt(1, links, _pair_bucket(links, buckets), buckets)
+        pairs = _merged(np.concatenate(held))
+        yield from _dealt(1, pairs, _of(pairs[:, 0] + mix(pairs[:, 1]), buckets), buckets)
 
+    for batch in batches:
+        x = [batch.column(k).to_numpy().view(np.uint64) for k in range(4)]
+        held.append(_pairs_of(x[0], x[1], x[2], x[3]))
+        n += len(held[-1])
+        if n >= GATHER:
+            yield from send()
+            held, n = [], 0
+    if n:
+        yield from send()
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their keys to a row for each: the hashes of the different shingles within NEAR of its place."""
+    names = ["key", "place", "label", "texts"]
+    for batch in batches:
+        for part in blocks(batch, 1, BLOCK_BYTES):
+            data, off = text_bytes(part.column(1))
+            hashes, first, count = shingles(data, off)
+            hashes = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            tag, lists = part.column(0).to_numpy(), part.column(2)
+            edge, listed = lists.offsets.to_numpy(), lists.values
+            cols = {c: listed.field(c).to_numpy() for c in names}
+            for r in range(part.num_rows):
+                own = hashes[first[r] : first[r] + max(0, int(count[r]) - SHINGLE + 1)]
+                for lo in range(int(edge[r]), int(edge[r + 1]), 4096):
+                    some = slice(lo, min(lo + 4096, int(edge[r + 1])))
+                    at, which = np.unique(cols["place"][some] >> 24, return_inverse=True)
+                    sets = [np.unique(own[max(0, x - NEAR) : x + NEAR + 1]) for x in at.tolist()]
+                    near = [sets[k] for k in which.tolist()]
+                    offsets = np.cumsum([0] + [len(x) for x in near]).astype(np.int32)
+                    made = [pa.array(cols[c][some]) for c in names]
+                    made.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(near))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), tag[r])), *made], ["tag", *names, "near"])
+
+
+def _common(near: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many hashes each row of ``left`` has in common with each of ``right``."""
+    size = np.array([len(x) for x in near])
+    codes, owner = np.concatenate(near), np.repeat(np.arange(len(near)), size)
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    edge = runs(codes)
+    many = np.repeat(np.diff(edge) > 1, np.diff(edge))
+    place = np.cumsum(np.concatenate([[0], codes[1:] != codes[:-1]]))[many]
+    _, place = np.unique(place, return_inverse=True)
+    owner, total = owner[many], np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(place.max()) + 1 if len(place) else 0, 4096):
+        own = (place >= lo) & (place < lo + 4096)
+        table = np.zeros((len(near), 4096), np.float32)
+        table[owner[own], place[own] - lo] = 1
+        total += table[left] @ table[right].T
+    return total
+
+
+def _cross(batches: Iterator[pa.RecordBatch], least: int, similar: float, buckets: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of texts of different classes of two blocks, or of one, of a cell, but for those that
+    have too little in common around the place: two passages of ``least`` shingles that are similar
+    share ``2 * least * similar / (1 + similar)``."""
+    columns = ["cell", "side", "tag", "place", "label"]
+    parts, near = [], []
     for b in batches:
-        pairs = pa.compute.equal(b.column("kind"), 1)
-        yield b.filter(pairs).select(["bucket", "kind", "rows"])
-        b = b.filter(pa.compute.invert(pairs))
-        for x, y in zip(b.column("rows").to_pylist(), b.column("other").to_pylist(), strict=True):
-            left = np.frombuffer(x, np.uint64).reshape(-1, 3)
-            right = np.frombuffer(y, np.uint64).reshape(-1, 3) if y else left
-            i, j = np.indices((len(left), len(right))).reshape(2, -1) if y else np.triu_indices(len(left), 1)
-            held.append(np.stack([left[i, 1], right[j, 1], left[i, 2], right[j, 2]], axis=1))
-            n += len(i)
-            if n >= GATHER:
-                yield from send()
-                held, n = [], 0
+        parts.append(np.stack([b.column(c).to_numpy().astype(np.int64) for c in columns], axis=1))
+        near += [x.values.to_numpy() if x.is_valid else None for x in b.column("near")]
+    rows = np.concatenate(parts)
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows, near = rows[order], [near[k] for k in order.tolist()]
+    least = int(np.ceil(2 * least * similar / (1 + similar)))
+    held, n = [], 0
+
+    def send():
+        pairs = _merged(np.concatenate(held))
+        yield from _dealt(1, pairs, _of(pairs[:, 0] + mix(pairs[:, 1]), buckets), buckets)
+
+    for lo, hi in pairwise(runs(rows[:, 0]).tolist()):
+        cut = lo + int(np.searchsorted(rows[lo:hi, 1], 1))
+        left = np.arange(lo, cut)
+        right = left if cut == hi else np.arange(cut, hi)
+        wanted = rows[left, None, 4] != rows[None, right, 4]
+        if near[lo] is not None and wanted.any():
+            wanted &= _common(near[lo:hi], left - lo, right - lo) >= least
+        i, j = np.nonzero(wanted)
+        a, b = rows[left[i]], rows[right[j]]
+        swap = a[:, 2].view(np.uint64) > b[:, 2].view(np.uint64) if len(a) else np.zeros(0, bool)
+        if left is right:
+            a, b = a[~swap], b[~swap]
+        else:
+            a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+        a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+        ok = a[:, 2] != b[:, 2]
+        held.append(_pairs_of(a[ok, 2], b[ok, 2], a[ok, 3], b[ok, 3]))
+        n += len(held[-1])
+        if n >= GATHER:
+            yield from send()
+            held, n = [], 0
     if n:
         yield from send()
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, a_from, a_to, b_from, b_to): shingle ranges to compare."""
-    held, n = [], 0
-    for b in batches:
-        for raw in b.column("rows").to_pylist():
-            held.append(np.frombuffer(raw, np.uint64).reshape(-1, 4))
-            n += len(held[-1])
-        if n >= 4 * GATHER:
-            held, n = [_merged(np.concatenate(held))], 0
-    rows = _merged(np.concatenate(held))
+    rows = _merged(_read(batches, 4))
     if len(rows):
         (al, ar), (bl, br) = _ends(rows[:, 2]), _ends(rows[:, 3])
         made = [rows[:, 0].copy().view(np.int64), rows[:, 1].copy().view(np.int64), al, ar, bl, br]
@@ -349,12 +551,14 @@ def _follow(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: in
 
 def passages(a: np.ndarray, b: np.ndarray, least: int, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """(a_from, a_to, b_from, b_to, similarity) of similar passages; ends are the last shingles."""
-    values, place = np.unique(b, return_index=True)
+    place = np.argsort(b, kind="stable")
+    values = b[place]
     at = np.minimum(np.searchsorted(values, a), len(values) - 1)
     i = np.flatnonzero(values[at] == a)
-    j = place[at[i]]
+    at = at[i]
+    j = place[at]
     out, todo = [], [(i, j)]
-    if len(values) < len(b) and len(i):  # shingles that repeat have no one place
+    if (values[np.minimum(at + 1, len(b) - 1)] == values[at])[at < len(b) - 1].any():  # shingles that repeat have no one place
         up = _follow(a, b, i, j, 1)
         todo = [(i, up), (i, _follow(a, b, i, up, -1)), (i, _follow(a, b, i, _follow(a, b, i, j, -1), 1))]
     while todo:
@@ -369,8 +573,8 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, similar: float = SIMILAR)
         span = i[0], i[-1], j.min(), j.max()
         if min(span[1] - span[0], span[3] - span[2]) + 1 < least:
             continue
-        x, y = np.unique(a[span[0] : span[1] + 1]), np.unique(b[span[2] : span[3] + 1])
-        both = len(np.intersect1d(x, y, assume_unique=True))
+        x, y = set(a[span[0] : span[1] + 1].tolist()), set(b[span[2] : span[3] + 1].tolist())
+        both = len(x & y)
         ratio = both / (len(x) + len(y) - both)
         if ratio >= similar:
             out.append((*map(int, span), ratio))
@@ -381,31 +585,41 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, similar: float = SIMILAR)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, a_from, side, lo, hi, text) to the 32-bit hashes of the shingles lo..hi."""
-    last, hashes = None, None
+    """Texts with the ranges asked of them to a row for each: the hashes of the shingles lo..hi."""
+    names = ["a", "b", "a_from", "b_from", "side", "lo"]
     for batch in batches:
-        lo, hi, text = (batch.column(batch.schema.get_field_index(c)) for c in ("lo", "hi", "text"))
-        blobs = []
-        for x, y, t in zip(lo.to_pylist(), hi.to_pylist(), text, strict=True):
-            t = t.as_py()
-            if t != last:
-                data, off = text_bytes(pa.array([t], pa.string()))
-                last, hashes = t, (shingles(data, off)[0] >> np.uint64(32)).astype(np.uint32)
-            blobs.append(hashes[x : y + 1].tobytes())
-        keep = [batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "a_from", "side", "lo")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(blobs, pa.binary())], ["a", "b", "a_from", "side", "lo", "slice"])
+        for part in blocks(batch, 0, BLOCK_BYTES):
+            data, off = text_bytes(part.column(0))
+            hashes, first, _ = shingles(data, off)
+            lists = part.column(1)
+            edge, asked = lists.offsets.to_numpy(), lists.values
+            cols = {c: asked.field(c).to_numpy() for c in (*names, "hi")}
+            base = np.zeros(len(asked), np.int64)
+            base[edge[0] : edge[-1]] = np.repeat(first[:-1], np.diff(edge))
+            for at in range(int(edge[0]), int(edge[-1]), 4096):
+                own = slice(at, min(at + 4096, int(edge[-1])))
+                blobs = [hashes[x:y].tobytes() for x, y in zip((base[own] + cols["lo"][own]).tolist(), (base[own] + cols["hi"][own] + 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[c][own]) for c in names] + [pa.array(blobs, pa.binary())], [*names, "slice"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: int, similar: float) -> Iterator[pa.RecordBatch]:
+    """Both slices of each pair, of a bucket, compared."""
+    held: dict[tuple, tuple] = {}
+    rows = []
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            a, b = (np.frombuffer(r[k]["slice"], np.uint32) for k in ("x", "y"))
+        for key_a, key_b, a_from, b_from, side, lo, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_from", "b_from", "side", "lo", "slice")), strict=True):
+            pair = key_a, key_b, a_from, b_from
+            other = held.pop(pair, None)
+            if other is None:
+                held[pair] = blob
+                continue
+            one, two = (other, blob) if side else (blob, other)
+            a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
             for p in passages(a, b, least, similar) if len(a) and len(b) else ():
-                rows.append((r["a"], r["b"], p[0] + r["x"]["lo"], p[1] + r["x"]["lo"] + SHINGLE, p[2] + r["y"]["lo"], p[3] + r["y"]["lo"] + SHINGLE, p[4]))
-        if rows:
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64())], ["a", "b", "a_start", "a_end", "b_start", "b_end", "similarity"])
+                rows.append((key_a, key_b, p[0] + a_from, p[1] + a_from + SHINGLE, p[2] + b_from, p[3] + b_from + SHINGLE, p[4]))
+    if rows:
+        cols = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64())], ["a", "b", "a_start", "a_end", "b_start", "b_end", "similarity"])
 
 
 def _word_counts():
@@ -416,32 +630,147 @@ def _word_counts():
     return step
 
 
-def link_passages(texts: DataFrame, passage: int = PASSAGE, similar: float = SIMILAR) -> DataFrame:
+BLOB = "bucket long, kind int, rows binary"
+FOUND = "a long, b long, a_from long, a_to long, b_from long, b_to long"
+VERIFIED = "a long, b long, a_start long, a_end long, b_start long, b_end long, similarity double"
+
+
+def _bodies(tags: DataFrame, texts: DataFrame) -> DataFrame:
+    """(tag, text) of the texts with these tags, each once."""
+    one = settle(texts.select("tag", "doc_id").join(tags, "tag", "left_semi").groupBy("tag").agg(F.min("doc_id").alias("_least")))
+    few = one.count() <= BROADCAST_KEYS
+    return texts.join(F.broadcast(one) if few else one, "tag").where("doc_id <=> _least").select("tag", "text")
+
+
+def _compare(found: DataFrame, texts: DataFrame, least: int, similar: float) -> DataFrame:
+    """The similar passages in the ranges of ``found``, in words."""
+    asked = found.select(F.col("a").alias("tag"), "a", "b", "a_from", "b_from", F.lit(0).alias("side"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi"))
+    asked = asked.unionByName(found.select(F.col("b").alias("tag"), "a", "b", "a_from", "b_from", F.lit(1).alias("side"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi")))
+    sizes = settle(asked.groupBy("tag").agg(F.count("*").alias("n")))
+    # A text that very many are compared with is sent in parts of ASKED.
+    parts = asked.join(sizes, "tag").withColumn("part", F.pmod(F.xxhash64("a", "b", "a_from"), F.ceil(F.col("n") / ASKED)))
+    listed = parts.groupBy("tag", "part").agg(F.collect_list(F.struct("a", "b", "a_from", "b_from", "side", "lo", "hi")).alias("asked"))
+    body = _bodies(sizes.select("tag"), texts)
+    cut = body.join(listed, "tag").select("text", "asked").mapInArrow(_slices, "a long, b long, a_from long, b_from long, side int, lo long, slice binary")
+    buckets = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // COMPARED))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("a", "b", "a_from", "b_from"), F.lit(buckets)))
+    out = settle(apply_groups(dealt, ["bucket"], lambda it: _verify(it, least, similar), VERIFIED))
+    release(found)
+    return out
+
+
+def _sides(links: DataFrame) -> DataFrame:
+    """(tag, start, end) of the passages in either text."""
+    one = links.select(F.col("a").alias("tag"), F.col("a_start").alias("start"), F.col("a_end").alias("end"))
+    return one.unionByName(links.select(F.col("b").alias("tag"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))
+
+
+def regions(links: DataFrame) -> DataFrame:
+    """(tag, start, end): the stretches of each text that lie in verified passages."""
+    made = "tag long, start long, end long"
+    parts = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // CROSSED))
+    dealt = _sides(links).mapInArrow(_merge_batches, made).withColumn("bucket", F.pmod(F.xxhash64("tag"), F.lit(parts)))
+    return apply_groups(dealt, ["bucket"], _merge_batches, made)
+
+
+def _by_text(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the class of their text; a text without links is its own."""
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "tag")
+    return members.join(roots, "tag", "left").select("key", "tag", "place", F.coalesce("root", "tag").alias("label"))
+
+
+def _by_region(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the class of the region that a key's place lies in; a text without one is its own."""
+    parts = settle(regions(links).withColumn("node", F.xxhash64("tag", "start")))
+    side = lambda s: parts.select(F.col("tag").alias(s), F.col("start").alias(f"{s}_lo"), F.col("end").alias(f"{s}_hi"), F.col("node").alias(f"{s}_node"))
+    within = lambda s: (F.col(f"{s}_start") >= F.col(f"{s}_lo")) & (F.col(f"{s}_start") < F.col(f"{s}_hi"))
+    joined = links.join(side("a"), "a").where(within("a")).join(side("b"), "b").where(within("b"))
+    roots = components(joined.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")))
+    named = parts.join(roots, "node").select(F.col("tag").alias("_tag"), "start", "end", "root")
+    met = members.join(named, (F.col("tag") == F.col("_tag")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left")
+    return met.select("key", "tag", "place", F.coalesce("root", F.xxhash64(F.lit(1), "tag")).alias("label"))
+
+
+def _split_keys(labelled: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(a text for each class of a key, the keys of several classes with their largest one)."""
+    choice = F.struct(F.xxhash64(F.lit(turn), "tag").alias("order"), "tag", "place")
+    classes = labelled.groupBy("key", "label").agg(F.min(choice).alias("one"), F.count("*").alias("n"))
+    return classes, classes.groupBy("key").agg(F.min(F.struct(-F.col("n"), "label", "one")).alias("top"), F.sum("n").alias("texts"), F.count("*").alias("classes")).where("classes > 1")
+
+
+def _by_one(labelled: DataFrame, turn: int, buckets: int) -> DataFrame:
+    """Of each key, a text of each class with one of the largest."""
+    classes, split = _split_keys(labelled, turn)
+    pairs = classes.join(split, "key").where(F.col("label") != F.col("top.label")).select(F.col("one").alias("x"), F.col("top.one").alias("y")).where("x.tag <> y.tag")
+    chosen = pairs.select(F.col("x.tag").alias("a"), F.col("y.tag").alias("b"), F.col("x.place").alias("c"), F.col("y.place").alias("d"))
+    return settle(apply_groups(chosen.mapInArrow(lambda it: _chosen(it, buckets), BLOB), ["bucket"], _candidates, FOUND))
+
+
+def _by_all(labelled: DataFrame, texts: DataFrame, least: int, similar: float, buckets: int) -> DataFrame:
+    """Of each key, all pairs of texts of different classes that have enough in common around the place.
+
+    A key of more than BLOCK texts isn't gathered.  Its texts meet by each
+    shingle around the place that at most BLOCK of them have: a pair with enough
+    in common has such a one, unless what it has in common is itself in more
+    texts.  Those that have so much that is common to very many are compared in
+    pairs of blocks.
+    """
+    _, split = _split_keys(labelled, ROUNDS)
+    asked = labelled.join(split.select("key", "texts"), "key").groupBy("tag").agg(F.collect_list(F.struct("key", "place", "label", "texts")).alias("places"))
+    asked = settle(asked)
+    body = _bodies(asked.select("tag"), texts)
+    made = body.join(asked, "tag").select("tag", "text", "places").mapInArrow(_near, "tag long, key long, place long, label long, texts long, near array<int>")
+    rows = settle(made)
+    cell = ["cell", "side", "tag", "place", "label", "near"]
+    cells = rows.where(F.col("texts") <= BLOCK).select(F.col("key").alias("cell"), F.lit(0).cast("long").alias("side"), *cell[2:])
+    many = rows.where(F.col("texts") > BLOCK)
+    if many.take(1):
+        each = many.select("key", "tag", "place", "label", F.explode("near").alias("shingle"))
+        counts = settle(each.groupBy("key", "shingle").agg(F.count("*").alias("n")).where("n > 1"))
+        none = F.lit(None).cast("array<int>").alias("near")
+        few = each.join(counts.where(F.col("n") <= BLOCK), ["key", "shingle"])
+        cells = cells.unionByName(few.select(F.xxhash64("key", "shingle").alias("cell"), F.lit(0).cast("long").alias("side"), *cell[2:5], none))
+        enough = int(np.ceil(2 * least * similar / (1 + similar)))
+        full = each.join(counts.where(F.col("n") > BLOCK), ["key", "shingle"]).groupBy("key", "tag", "place", "label").agg(F.count("*").alias("m")).where(F.col("m") >= enough)
+        full = full.join(split.select("key", F.ceil(F.col("texts") / BLOCK).alias("blocks")), "key")
+        full = full.withColumn("own", F.pmod(F.xxhash64("tag"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        cells = cells.unionByName(full.select(F.xxhash64("key", low, high).alias("cell"), ((low != high) & (F.col("own") == high)).cast("long").alias("side"), *cell[2:5], none))
+    n = rows.count()
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(max(buckets, -(-n // CROSSED)))))
+    dealt = apply_groups(cells, ["bucket"], lambda it: _cross(it, least, similar, buckets), BLOB)
+    found = settle(apply_groups(dealt, ["bucket"], _candidates, FOUND))
+    release(asked, rows)
+    return found
+
+
+def link_passages(texts: DataFrame, passage: int = PASSAGE, similar: float = SIMILAR, n_words: int = 0) -> DataFrame:
     """(a, b, a_start, a_end, b_start, b_end, similarity): similar passages of two texts, in words.
 
-    ``texts``: (doc_id, tag, text), tag a hash of the text; equal tags are one text.
+    ``texts``: (doc_id, tag, text), tag a hash of the text; equal tags are one
+    text.  The links connect all texts that similar passages connect, in each
+    passage; among texts that are connected there they aren't all pairs.
+    ``n_words`` of all texts decides the number of buckets.
     """
     spark, least = texts.sparkSession, passage - SHINGLE + 1
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    sent = lean(texts).select("tag", "text").mapInArrow(lambda it: _sketch(it, least, buckets), "bucket long, kind int, rows binary")
-    shared = apply_groups(sent, ["bucket"], lambda it: _shared(it, buckets), "bucket long, kind int, rows binary")
-    keyed = apply_groups(shared, ["bucket"], lambda it: _keys(it, least, buckets), "bucket long, kind int, rows binary")
-    met = apply_groups(keyed, ["bucket"], lambda it: _meet(it, buckets), "bucket long, kind int, rows binary, other binary")
-    # A count of its own, so that few bytes that make many pairs aren't put into few tasks.
-    crossed = met.repartition(buckets, "bucket").mapInArrow(lambda it: _cross(it, buckets), "bucket long, kind int, rows binary")
-    found = settle(apply_groups(crossed, ["bucket"], _candidates, "a long, b long, a_from long, a_to long, b_from long, b_to long"))
-    asked = found.select(F.col("a").alias("tag"), "a", "b", "a_from", F.lit(0).alias("side"), F.col("a_from").alias("lo"), F.col("a_to").alias("hi"))
-    asked = asked.unionByName(found.select(F.col("b").alias("tag"), "a", "b", "a_from", F.lit(1).alias("side"), F.col("b_from").alias("lo"), F.col("b_to").alias("hi")))
-    needed = settle(asked.select("tag").distinct())
-    one = texts.select("tag", "doc_id").join(needed, "tag", "left_semi").groupBy("tag").agg(F.min("doc_id").alias("doc_id"))
-    one = settle(one)
-    if one.count() <= BROADCAST_KEYS:
-        one = F.broadcast(one)
-    body = texts.join(one.withColumnRenamed("doc_id", "_least"), "tag").where("doc_id <=> _least").select("tag", "text")
-    cut = asked.join(body, "tag").select("a", "b", "a_from", "side", "lo", "hi", "text").mapInArrow(_slices, "a long, b long, a_from long, side int, lo long, slice binary")
-    half = lambda side: F.first(F.when(F.col("side") == side, F.struct("lo", "slice")), ignorenulls=True)
-    pairs = cut.groupBy("a", "b", "a_from").agg(half(0).alias("x"), half(1).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    return settle(pairs.mapInArrow(lambda it: _verify(it, least, similar), "a long, b long, a_start long, a_end long, b_start long, b_end long, similarity double"))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // BUCKET_WORDS))
+    sent = lean(texts).select("tag", "text").mapInArrow(lambda it: _sketch(it, least, buckets), BLOB)
+    shared = apply_groups(sent, ["bucket"], lambda it: _shared(it, buckets), BLOB)
+    keyed = settle(apply_groups(shared, ["bucket"], lambda it: _keys(it, least, buckets), BLOB), "kind")
+    met = settle(apply_groups(keyed.where("kind = 0"), ["bucket"], lambda it: _meet(it, buckets), BLOB), "kind")
+    both = keyed.where("kind > 0").unionByName(met)
+    found = settle(apply_groups(both.where("kind = 1"), ["bucket"], _candidates, FOUND))
+    members = settle(both.where("kind = 3").mapInArrow(_members, "key long, tag long, at long, place long"))
+    release(keyed, met)
+    links = _compare(found, texts, least, similar)
+    for turn in range(ROUNDS + 1):
+        labelled = settle((_by_region if turn < ROUNDS else _by_text)(members, links))
+        found = _by_one(labelled, turn, buckets) if turn < ROUNDS else _by_all(labelled, texts, least, similar, buckets)
+        release(labelled)
+        if found.take(1):
+            links = settle(links.unionByName(_compare(found, texts, least, similar)))
+    release(members)
+    return links
 
 
 def _merge(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -463,29 +792,34 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id, n_links, n_words, n_dup_words, spans) for each row of ``docs``.
+    """(doc_id, class_id, n_words, n_dup_words, spans) for each row of ``docs``.
 
     Texts of at least ``passage`` words are linked if they share a passage of
     that length with a similarity of ``similar`` or more, or are equal.
-    class_id is the least doc_id of those reachable, n_links the number of
-    different texts with a verified link to it, spans the shared passages as ranges of
-    words (at their first place in the text).  Null and short texts stand alone
-    and name themselves, null ids have class_id null where alone.
+    class_id is the least doc_id of those reachable, spans the shared passages
+    as ranges of words (at their first place in the text).  Null and short texts
+    stand alone and name themselves, null ids have class_id null where alone.
+    Repeated rows are equal texts; an empty table gives an empty one; other
+    columns aren't read.  A text's windows are computed in one block, some 200
+    bytes a word.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     table = settle(append_columns(source, "text", "n_words long", _word_counts).select("doc_id", "tag", "n_words"))
-    links = link_passages(source.where(F.length("text") >= 2 * passage - 1), passage, similar)
+    n_words = table.agg(F.sum("n_words")).first()[0] or 0
+    links = link_passages(source.where(F.length("text") >= 2 * passage - 1), passage, similar, n_words)
     roots = settle(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     long_ = table.where(F.col("n_words") >= passage)
     of_tag = settle(long_.groupBy("tag").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    named = of_tag.join(roots, of_tag["tag"] == roots["node"], "left").select("tag", "least", "copies", F.coalesce("root", "tag").alias("root"))
-    classes = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    sides = links.select(F.col("a").alias("tag"), F.col("b").alias("other"), F.col("a_start").alias("start"), F.col("a_end").alias("end"))
-    sides = sides.unionByName(links.select(F.col("b").alias("tag"), F.col("a").alias("other"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))
-    degree = sides.select("tag", "other").distinct().groupBy("tag").agg(F.count("*").alias("n_links"))
-    merged = apply_groups(sides.select("tag", "start", "end").mapInArrow(_merge_batches, "tag long, start long, end long"), ["tag"], _merge_batches, "tag long, start long, end long")
-    spans = merged.groupBy("tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("shared"))
-    facts = named.join(classes, "root").join(degree, "tag", "left").join(spans, "tag", "left").select("tag", "class_id", "copies", "n_links", "spans", "shared")
+    named = of_tag.join(roots, of_tag["tag"] == roots["node"], "left").select("tag", "least", "copies", "root")
+    # Most texts are alone; the others' least id comes from two sums, as one class may hold very many.
+    linked = named.where("root IS NOT NULL")
+    salted = linked.groupBy("root", F.pmod("tag", F.lit(SALTS)).alias("salt")).agg(F.min("least").alias("class_id"))
+    least_of = salted.groupBy("root").agg(F.min("class_id").alias("class_id"))
+    classes = settle(salted.select("root", "salt").join(least_of, "root"))
+    linked = linked.withColumn("salt", F.pmod("tag", F.lit(SALTS))).join(classes, ["root", "salt"]).select("tag", "copies", "class_id")
+    every = linked.unionByName(named.where("root IS NULL").select("tag", "copies", F.col("least").alias("class_id")))
+    spans = regions(links).groupBy("tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("shared"))
+    facts = every.join(spans, "tag", "left")
     enough = F.col("n_words") >= passage
     met = table.join(facts, "tag", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
@@ -494,7 +828,6 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return met.select(
         "doc_id",
         F.when(enough, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(enough, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         "n_words",
         F.when(copied, F.col("n_words")).when(enough, F.coalesce("shared", F.lit(0))).otherwise(0).cast("long").alias("n_dup_words"),
         F.when(copied, whole).when(enough, F.coalesce("spans", nothing)).otherwise(nothing).alias("spans"),

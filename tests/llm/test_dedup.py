@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quadloom.llm import components, decontam, line_dedup, simhash, substring
 
@@ -180,7 +181,7 @@ def test_passages_around_common_words(spark):
     """Two texts that share a passage are linked, though every text has most of its words."""
     rng = random.Random(3)
     say = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
-    for common in (say(20), say(30), say(35)):
+    for common in (say(20), say(35), say(45)):
         docs = []
         for k in range(100):
             passage = say((55 - len(common)) // 2) + common + say((56 - len(common)) // 2)
@@ -216,26 +217,69 @@ def test_compact_windows():
         wins = [(int(first[r] + x - a), int(first[r] + x), int(first[r] + x + b)) for r, x, a, b in zip(row, c, left, right)]
         for (lo, at, hi), r in zip(wins, row):
             assert own[lo : hi + 1].min() == own[at]
-            assert lo == first[r] or at - lo == 255 or own[lo - 1] < own[at]
-            assert hi == end[r] - 1 or hi - at == 255 or own[hi + 1] < own[at]
+            assert lo == first[r] or at - lo == 63 or own[lo - 1] < own[at]
+            assert hi == end[r] - 1 or hi - at == 63 or own[hi + 1] < own[at]
         for r in range(2):
             for s in range(first[r], end[r] - 20 + 1):
                 at = s + int(own[s : s + 20].argmin())
                 assert any(w[0] <= s and w[1] == at and s + 19 <= w[2] for w in wins)
 
 
-def test_crowded_groups():
-    """A group over the limit is cut to FORWARD windows, and the rest keep links to it."""
-    n = 50
-    rows = np.stack([np.full(n, 9), np.arange(100, 100 + n), np.arange(n) << 24], axis=1).astype(np.uint64)
-    rows, start, size = substring._sorted_runs(np.concatenate([rows, rows]))
-    assert len(rows) == n
-    links = substring._pairs(rows, start, size)
-    assert len(set(groups(range(100, 100 + n), links[:, :2].tolist()).values())) == 1 and len(links) <= 3 * n
+def brute_classes(docs, least=46, similar=0.8):
+    """All pairs of texts, compared whole, and their groups."""
+    hashes = {}
+    for i, t in docs:
+        data, off = substring.text_bytes(pa.array([t]))
+        h, _, count = substring.shingles(data, off)
+        hashes[i] = h
+    links = [(a, b) for a in hashes for b in hashes if a < b and len(hashes[a]) >= least <= len(hashes[b]) and substring.passages(hashes[a], hashes[b], least, similar)]
+    return groups(list(hashes), links)
 
 
-def test_all_links_of_crowded_groups(spark):
-    """Every pair of many near copies is linked, however the texts fall into tasks, blocks and batches."""
+@pytest.mark.parametrize("block", [substring.BLOCK, 6])
+def test_classes_against_all_pairs(spark, monkeypatch, block):
+    """Common passages just too short to link, and near copies in groups, however they are dealt."""
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rng = random.Random(block)
+    say = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    common, longer, docs = say(34), say(44), []
+    for k in range(24):  # pairs around a passage that all have
+        passage = say(10) + (common if k % 2 else longer) + say(9)
+        docs += [" ".join(say(rng.randrange(20, 50)) + passage + say(20)) for _ in range(2)]
+    for k in range(4):  # copies with edits, some too many
+        base = say(160)
+        for c in range(8):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(0, 2)] = say(1)
+            docs.append(" ".join(copy[: rng.randrange(60, 160)]))
+    docs += [" ".join(say(40) + common + say(10)) for _ in range(10)] + [" ".join(common + say(30)) for _ in range(10)]
+    docs = list(enumerate(docs))
+    want = brute_classes(docs)
+    for parts in (1, 4):
+        got = {r.doc_id: r.class_id for r in substring.dedup_substrings(frame(spark, docs).repartition(parts)).collect()}
+        assert got == want
+    assert 30 < len(set(want.values())) < 70
+
+
+def test_recall_of_edited_passages(spark):
+    """Of pairs that share one passage of a similarity from 0.8 to 0.9, nearly all are found."""
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    docs = []
+    for _ in range(150):
+        passage = say(60)
+        other = list(passage)
+        other[rng.randrange(8, 52)] = "edited"  # 5 of 56 shingles differ: 51 / 61
+        docs += [" ".join(say(60) + passage + say(60)), " ".join(say(60) + other + say(60))]
+    docs = list(enumerate(docs))
+    got = {r.doc_id: r.class_id for r in substring.dedup_substrings(frame(spark, docs)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(150)) >= 0.97 * 150
+
+
+def test_all_texts_of_crowded_groups(spark):
+    """Many near copies are one class, however the texts fall into tasks, and few of their pairs are compared."""
     rng = random.Random(6)
     say = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
     base, docs = say(120), []
@@ -244,29 +288,41 @@ def test_all_links_of_crowded_groups(spark):
         copy[30 + k] = f"own{k}"
         docs.append((k, " ".join(copy)))
     for parts in (1, 5):
-        got = substring.dedup_substrings(frame(spark, docs).repartition(parts)).collect()
-        assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {k: (0, 39) for k in range(40)}
+        df = frame(spark, docs).repartition(parts)
+        got = substring.dedup_substrings(df).collect()
+        assert {r.doc_id: r.class_id for r in got} == {k: 0 for k in range(40)} and all(r.n_dup_words >= 100 for r in got)
+        links = substring.link_passages(df.withColumn("tag", F.xxhash64("text")))
+        assert links.select("a", "b").distinct().count() < 40 * 10
 
 
 def test_every_window_is_sent():
-    """Of a hash that many texts of a task have, each text's window goes on."""
+    """Of a hash that several texts of a task have, each text's window goes on, and other tasks hear of it."""
     rng = random.Random(2)
     base = [f"w{rng.randrange(10**7)}" for _ in range(80)]
     texts = [" ".join([*base, f"own{k}"]) for k in range(30)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(texts)], ["tag", "text"])
-    rows = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 3) for b in substring._sketch(iter([batch]), 46, 4) for x in b.column("rows").to_pylist()])
+    made = []
+    for tags in (range(29), [29]):
+        tags = list(tags)
+        batch = pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array([texts[k] for k in tags])], ["tag", "text"])
+        made += substring._sketch(iter([batch]), 46, 4)
+    out = []
+    for bucket in range(4):
+        out += substring._shared((b.filter(pa.compute.equal(b.column("bucket"), bucket)) for b in made), 4)
+    rows = substring._read(iter(out), 3)
     data, off = substring.text_bytes(pa.array(texts))
-    want = {(v, r) for value, row, *_ in substring.all_windows(*substring.shingles(data, off), 46) for v, r in zip(value.tolist(), row.tolist(), strict=True)}
-    assert {(v, r) for v, r in rows[:, :2].tolist()} == want
-
-
-def test_blocks_give_each_pair_once():
-    n = 2 * substring.BLOCK + 30
-    rows = np.stack([np.full(n, 9), np.arange(n), np.full(n, 60)], axis=1).astype(np.uint64)
-    batch = pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["rows"])
-    out = [np.frombuffer(x, np.uint64).reshape(-1, 4) for b in substring._cross(substring._meet(iter([batch]), 4), 4) for x in b.column("rows").to_pylist()]
-    links = np.concatenate(out)[:, :2]
-    assert len(links) == len(np.unique(links, axis=0)) == n * (n - 1) // 2 and (links[:, 0] < links[:, 1]).all()
+    every = [(v, r) for value, row, *_ in substring.all_windows(*substring.shingles(data, off), 46) for v, r in zip(value.tolist(), row.tolist(), strict=True)]
+    count = {}
+    for v, r in set(every):
+        count[v] = count.get(v, 0) + 1
+    assert {(v, r) for v, r in rows[:, :2].tolist()} == {x for x in every if count[x[0]] > 1}
+
+
+def test_common_hashes():
+    rng = np.random.default_rng(3)
+    near = [np.unique(rng.integers(0, 300, 60).astype(np.int32)) for _ in range(20)]
+    left, right = np.arange(12), np.arange(12, 20)
+    want = [[len(np.intersect1d(near[i], near[j])) for j in right] for i in left]
+    assert (substring._common(near, left, right) == want).all() and (substring._common(near, left, left).diagonal() >= 0).all()
 
 
 def test_repeated_words():

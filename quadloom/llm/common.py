@@ -15,6 +15,7 @@ from typing import Tuple  # noqa: UP035  the form that Spark reads from hints
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step holds; a longer text is a block alone.
@@ -89,10 +90,25 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
-def drop_like(df: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` without the columns that share a name with ``names``, whatever the case."""
-    taken = {n.lower() for n in names}
-    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with columns named by their place, so that none is called like what an operator adds."""
+    return df.toDF(*[f"c{i}_" for i in range(len(df.columns))])
+
+
+def restored(df: DataFrame, like: DataFrame, text: str | None = None, made: str | None = None) -> DataFrame:
+    """The columns of ``like`` from a ``positional`` one, ``text`` being replaced by the column ``made``."""
+    return df.select(*[F.col(made if made and c == text else f"c{i}_").alias(c) for i, c in enumerate(like.columns)])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` is called so, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def blocks(batch: pa.RecordBatch, text: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

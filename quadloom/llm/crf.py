@@ -2,9 +2,11 @@
 
 A word's features are its byte n-grams, its affixes and the word itself (the
 lexicon), hashed into one table of weights for each label; labels are linked by
-learned transitions.  Chains are lines, cut every ``CHAIN`` words.  Marginals
-come from forward-backward, run for all chains of a block at once: step t of the
-recursion is one vectorised operation over the chains that have a word t.
+learned transitions.  Chains are lines, whole.  Marginals come from
+forward-backward, run for all chains of a block at once: step t of the recursion
+is one vectorised operation over the chains that have a word t.  Longer chains
+are read in segments of ``SEGMENT`` words: the products of their transfer matrices
+carry the messages over a chain, and then all its segments are read at once.
 
 Weights are fitted on the driver from a bounded sample that the caller draws.
 """
@@ -12,13 +14,14 @@ Weights are fitted on the driver from a bounded sample that the caller draws.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 
 from .common import LETTERS, LOWER, mix, word_codes, words
 
-CHAIN = 32
+SEGMENT = 32
 BITS = 18
 
 
@@ -89,7 +92,7 @@ class Features:
         return index_, who_
 
 
-def line_words(data: np.ndarray, off: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, ...]:
+def line_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """(codes, distinct, starts, ends, first, begin): letter words and the chains they form.
 
     begin holds the first word of each chain, with the number of words at the end.
@@ -101,10 +104,7 @@ def line_words(data: np.ndarray, off: np.ndarray, chain: int = CHAIN) -> tuple[n
     fresh[first[:-1]] = True
     breaks = np.flatnonzero(data == 0x0A)
     fresh[np.searchsorted(starts, breaks)] = True
-    head = np.flatnonzero(fresh[:n])
-    since = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
-    begin = np.flatnonzero(since % chain == 0) if n else np.zeros(0, np.int64)
-    return codes, distinct, starts, ends, first, np.append(begin, n)
+    return codes, distinct, starts, ends, first, np.append(np.flatnonzero(fresh[:n]), n)
 
 
 @dataclass
@@ -118,44 +118,86 @@ class Crf:
         index, who = self.features.of(distinct)
         out = np.empty((len(distinct), len(self.labels)), np.float32)
         for k in range(len(self.labels)):
-            out[:, k] = np.bincount(who, self.weights[index, k], len(distinct))
+            out[:, k] = np.bincount(who, self.weights[:, k][index], len(distinct))
         return out
 
     def marginals(self, emitted: np.ndarray, begin: np.ndarray) -> np.ndarray:
         return forward_backward(emitted, self.moves, begin)[0]
 
 
-def _steps(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chains by length, longest first: their first words, and how many have a word t."""
-    lens = np.diff(begin)
-    order = np.argsort(-lens, kind="stable")
-    alive = np.searchsorted(-lens[order], -np.arange(1, (lens.max() if len(lens) else 0) + 1), "right")
-    return begin[:-1][order], alive
-
-
-def forward_backward(emitted: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segments(begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the segments, with the number of words at the end, and which begin a chain."""
+    parts = np.maximum(-(-np.diff(begin) // size), 1)
+    edge = np.append(0, np.cumsum(parts))
+    place = np.arange(edge[-1]) - np.repeat(edge[:-1], parts)
+    return np.append(np.repeat(begin[:-1], parts) + size * place, begin[-1]), place == 0
+
+
+def _messages(e: np.ndarray, a: np.ndarray, begin: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches each segment from the words before it (up to the last of them) and from those behind it."""
+    n, k = len(head), e.shape[1]
+    before, behind = np.ones((n, k), e.dtype), np.ones((n, k), e.dtype)
+    chain = np.cumsum(head) - 1
+    first = np.flatnonzero(head)
+    place = np.arange(n) - first[chain]
+    some = np.flatnonzero((np.diff(np.append(first, n)) > 1)[chain])
+    if not len(some):
+        return before, behind
+    lens = np.diff(begin)[some]
+    own = e[begin[some]]
+    matrix = np.where(head[some][:, None, None], np.eye(k, dtype=e.dtype) * own[:, None, :], a * own[:, None, :])
+    for t in range(1, int(lens.max())):
+        on = lens > t
+        step = (matrix[on] @ a) * e[begin[some[on]] + t][:, None, :]
+        matrix[on] = step / step.max(axis=(1, 2), keepdims=True)
+    where = np.full(n, -1)
+    where[some] = np.arange(len(some))
+    by_place = np.argsort(place[some], kind="stable")
+    groups = [some[by_place[lo:hi]] for lo, hi in pairwise(np.searchsorted(place[some][by_place], np.arange(place[some].max() + 2)).tolist())]
+    for now in groups[1:]:
+        x = np.einsum("ij,ijk->ik", before[now - 1], matrix[where[now - 1]])
+        before[now] = x / x.max(axis=1, keepdims=True)
+    for now in reversed(groups[1:]):
+        x = np.einsum("ijk,ik->ij", matrix[where[now]], behind[now])
+        behind[now - 1] = x / x.max(axis=1, keepdims=True)
+    return before, behind
+
+
+def forward_backward(emitted: np.ndarray, moves: np.ndarray, begin: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of each word, and expected counts of each move over all chains."""
     e = np.exp(emitted - emitted.max(axis=1, keepdims=True)) if len(emitted) else emitted
     a = np.exp(moves.astype(np.float32))
-    at, alive = _steps(begin)
+    begin, head = _segments(begin, segment)
+    before, behind = _messages(e, a, begin, head)
+    lens = np.diff(begin)
+    order = np.argsort(-lens, kind="stable")
+    at, head, before, behind = begin[:-1][order], head[order], before[order], behind[order]
+    # How many segments have a word t.
+    alive = np.searchsorted(-lens[order], -np.arange(1, (lens.max() if len(lens) else 0) + 1), "right")
     alpha, beta = np.empty_like(e), np.empty_like(e)
     for t, n in enumerate(alive.tolist()):
         i = at[:n] + t
-        x = e[i] if t == 0 else (alpha[i - 1] @ a) * e[i]
+        x = np.where(head[:n, None], 1, before[:n] @ a) * e[i] if t == 0 else (alpha[i - 1] @ a) * e[i]
         alpha[i] = x / x.sum(axis=1, keepdims=True)
     counts = np.zeros_like(moves, dtype=np.float64)
+
+    def move(j: np.ndarray) -> np.ndarray:
+        """From the words ``j`` to the next ones."""
+        ahead = e[j + 1] * beta[j + 1]
+        x = ahead @ a.T
+        scale = 1 / (alpha[j] * x).sum(axis=1, keepdims=True)
+        counts[:] += a * ((alpha[j] * scale).T @ ahead)
+        return x / x.sum(axis=1, keepdims=True)
+
     for t in range(len(alive) - 1, -1, -1):
         n = alive[t]
         more = alive[t + 1] if t + 1 < len(alive) else 0
         i = at[:n] + t
-        beta[i[more:]] = 1.0
+        beta[i[more:]] = behind[more:n]
         if more:
-            j = i[:more]
-            ahead = e[j + 1] * beta[j + 1]
-            x = ahead @ a.T
-            scale = 1 / (alpha[j] * x).sum(axis=1, keepdims=True)
-            counts += a * ((alpha[j] * scale).T @ ahead)
-            beta[j] = x / x.sum(axis=1, keepdims=True)
+            beta[i[:more]] = move(i[:more])
+    if not head.all():
+        move(at[~head] - 1)
     m = alpha * beta
     return m / m.sum(axis=1, keepdims=True) if len(m) else m, counts
 

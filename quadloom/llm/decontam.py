@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, append_columns, drop_like, text_bytes, word_codes, words
+from .common import ALNUM, LOWER, append_columns, positional, restored, text_bytes, unused, word_codes, words
 
 WINDOW = 10
 #: Words of items in one automaton, hence in one broadcast.
@@ -206,19 +206,19 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     nothing; rows that share an item_id are one item, a null item_id is ''.
     """
     spark = docs.sparkSession
-    out, first = docs, True
+    out, first, held = docs, True, unused(docs, "hit_bits", "hit_items")
     for block in item_blocks(benchmark, item_id, item_text):
         key = hashlib.sha256(repr(block).encode()).hexdigest()
         sent = spark.sparkContext.broadcast(block)
-        out = _pass(out, text, sent, key, window, first)
+        out = _pass(out, text, sent, key, window, first, held)
         first = False
     if first:
-        out = _pass(out, text, spark.sparkContext.broadcast([]), "", window, True)
-    return _finish(out, text, max_coverage)
+        out = _pass(out, text, spark.sparkContext.broadcast([]), "", window, True, held)
+    return _finish(out, text, max_coverage, held)
 
 
-def _pass(df: DataFrame, text: str, sent, key: str, window: int, first: bool) -> DataFrame:
-    """Adds to _hit, a bit for each word, and to _items what one block of items finds."""
+def _pass(df: DataFrame, text: str, sent, key: str, window: int, first: bool, held: list[str]) -> DataFrame:
+    """Adds to the columns ``held``, a bit for each word and the items, what one block of items finds."""
 
     def work():
         automaton = _automaton(key, sent.value, window)
@@ -242,18 +242,18 @@ def _pass(df: DataFrame, text: str, sent, key: str, window: int, first: bool) ->
             bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             items = [sorted({names[k] for k in found.get(i, ())}) for i in range(part.num_rows)]
             if not first:
-                old = part.column(part.schema.get_field_index("_hit")).to_pylist()
+                old = part.column(part.schema.get_field_index(held[0])).to_pylist()
                 bits = [(np.frombuffer(x, np.uint8) | np.frombuffer(y, np.uint8)).tobytes() for x, y in zip(bits, old, strict=True)]
-                gone = part.column(part.schema.get_field_index("_items")).to_pylist()
+                gone = part.column(part.schema.get_field_index(held[1])).to_pylist()
                 items = [sorted({*x, *y}) for x, y in zip(items, gone, strict=True)]
             return [pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
 
         return step
 
-    return append_columns(df, text, "_hit binary, _items array<string>", work)
+    return append_columns(df, text, f"`{held[0]}` binary, `{held[1]}` array<string>", work)
 
 
-def _finish(df: DataFrame, text: str, max_coverage: float) -> DataFrame:
+def _finish(df: DataFrame, text: str, max_coverage: float, held: list[str]) -> DataFrame:
     made = "n_words long, n_hit long, item_ids array<string>, contaminated boolean, hit_spans array<struct<start:long,end:long>>, clean_text string, rejected boolean"
 
     def work():
@@ -261,7 +261,7 @@ def _finish(df: DataFrame, text: str, max_coverage: float) -> DataFrame:
             data, off = text_bytes(column)
             raw = data.tobytes()
             starts, ends, at = words(LOWER[data], off, ALNUM)
-            bits = part.column(part.schema.get_field_index("_hit")).to_pylist()
+            bits = part.column(part.schema.get_field_index(held[0])).to_pylist()
             count, hits, spans, clean = np.diff(at), [], [], []
             for i, packed in enumerate(bits):
                 lo, hi, base = off[i], off[i + 1], at[i]
@@ -284,7 +284,7 @@ def _finish(df: DataFrame, text: str, max_coverage: float) -> DataFrame:
             return [
                 pa.array(count.astype(np.int64)),
                 pa.array(hits_),
-                part.column(part.schema.get_field_index("_items")),
+                part.column(part.schema.get_field_index(held[1])),
                 pa.array(hits_ > 0),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 pa.array(clean, pa.string()),
@@ -293,10 +293,10 @@ def _finish(df: DataFrame, text: str, max_coverage: float) -> DataFrame:
 
         return step
 
-    return drop_like(append_columns(df, text, made, work), ["_hit", "_items"])
+    return append_columns(df, text, made, work).drop(*held)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without rejected rows, texts without the hit spans."""
-    marked = mark_contamination(docs, benchmark, text, **options).where("NOT rejected")
-    return marked.select(*[F.col("clean_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    marked = mark_contamination(positional(docs), benchmark, f"c{docs.columns.index(text)}_", **options).where("NOT rejected")
+    return restored(marked, docs, text, "clean_text")

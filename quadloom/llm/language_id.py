@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, settle, text_bytes
+from .common import append_columns, positional, restored, settle, text_bytes
 from .crf import Crf, Features, fit, line_words
 
 PER_LABEL = 400
@@ -142,3 +142,9 @@ def identify(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFram
         return step
 
     return append_columns(docs, text, "lang_pred string, score double, word_langs array<struct<lang:string,n_words:long>>", work, limit=BLOCK // -(-max(1, len(model.labels) if model else 0) // LABELS))
+
+
+def keep_known(docs: DataFrame, model: Crf | None, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without the rows that are `und` or whose score is below ``least``."""
+    scored = identify(positional(docs), model, f"c{docs.columns.index(text)}_")
+    return restored(scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, append_columns, settle, text_bytes, words
+from .common import SPACED, append_columns, positional, restored, settle, text_bytes, unused, words
 
 MIN_WORDS = 5
 
@@ -79,8 +79,8 @@ def _named(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
 def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tag, gone): for each document that has later copies, the numbers of
     the lines (among those with a word) to delete.  tag is a hash of the text."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     arrays = line_arrays(source, min_words).where("size(high) > 0").dropDuplicates(["doc_id", "tag"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = arrays.repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), "tag").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "tag")
@@ -134,19 +134,20 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     without the deleted lines (blank lines stay; null stays null).  The earlier
     of two runs is the one of the lower doc_id, null last, then the one nearer
     the text's start.  Rows alike in id and text are one document and get one
-    result.
+    result.  Columns of ``docs`` that are called like a new one are replaced.
     """
     copies = find_copies(docs, doc_id, text, min_words)
     # `gone` by document; the tag is computed again, so that any row finds its own.
-    tagged = append_columns(docs, text, "_tag long", _tag_work)
-    side = copies.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag2"), F.col("gone").alias("_gone"))
-    met = tagged.join(side, tagged[doc_id].eqNullSafe(side["_id"]) & (tagged["_tag"] == side["_tag2"]), "left").drop("_id", "_tag", "_tag2")
+    own, other, their, gone_lines = unused(docs, "own_tag", "copy_id", "copy_tag", "gone_lines")
+    tagged = append_columns(docs, text, f"`{own}` long", _tag_work)
+    side = copies.select(F.col("doc_id").alias(other), F.col("tag").alias(their), F.col("gone").alias(gone_lines))
+    met = tagged.join(side, F.col(f"`{doc_id}`").eqNullSafe(F.col(other)) & (F.col(own) == F.col(their)), "left").drop(other, own, their)
 
     def work():
         def step(column: pa.Array, part: pa.RecordBatch) -> list[pa.Array]:
             data, off = text_bytes(column)
             raw = data.tobytes()
-            lists = part.column(part.schema.get_field_index("_gone"))
+            lists = part.column(part.schema.get_field_index(gone_lines))
             lines_of, deleted, longest, kept = [], [], [], []
             for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 lines = raw[a:b].split(b"\n")
@@ -167,7 +168,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
         return step
 
-    return append_columns(met, text, "n_lines long, n_deleted long, longest_run long, kept_text string", work).drop("_gone")
+    return append_columns(met, text, "n_lines long, n_deleted long, longest_run long, kept_text string", work).drop(gone_lines)
 
 
 def _tag_work():
@@ -183,5 +184,6 @@ def _tag_work():
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the kept texts; a document whose every line was a later copy goes."""
-    done = dedup_lines(docs, doc_id, text, min_words).where("n_deleted < n_lines OR n_deleted = 0")
-    return done.select(*[F.col("kept_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    at = [f"c{docs.columns.index(c)}_" for c in (doc_id, text)]
+    done = dedup_lines(positional(docs), *at, min_words).where("n_deleted < n_lines OR n_deleted = 0")
+    return restored(done, docs, text, "kept_text")

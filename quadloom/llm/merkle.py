@@ -14,6 +14,8 @@ length and digest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +27,20 @@ FAN_BITS = 4
 SEGMENT = 4096
 
 
-def warc_bytes(uri: Column, payload: Column) -> Column:
-    """A WARC/1.1 response record: header block, payload, and the closing blank lines."""
-    body = F.coalesce(payload.cast("binary"), F.lit(b""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(uri, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    return F.concat(F.encode(head, "UTF-8"), body, F.lit(b"\r\n\r\n"))
+#: Of records whose capture has no date.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+
+def warc_bytes(uri: Column, payload: Column, date: str = NO_DATE) -> Column:
+    """A WARC/1.1 resource record: header block, payload, and the closing blank lines.
+
+    The record id is a UUID made of the first 128 bits of SHA-256 of address and payload.
+    """
+    body, where = F.coalesce(payload.cast("binary"), F.lit(b"")), F.coalesce(uri, F.lit(""))
+    name = F.regexp_replace(F.substring(F.sha2(F.concat(F.encode(where, "UTF-8"), F.lit(b"\n"), body), 256), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    lines = [F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), name, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), where]
+    lines += [F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")]
+    return F.concat(F.encode(F.concat(*lines), "UTF-8"), body, F.lit(b"\r\n\r\n"))
 
 
 def segment_of(key: Column, uri: Column, n: int) -> Column:
@@ -38,18 +49,29 @@ def segment_of(key: Column, uri: Column, n: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(named, 256), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
-def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", segment: int = SEGMENT) -> DataFrame:
-    """(record_id, segment, offset, length, digest): the archive's layout.
+def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", segment: int = SEGMENT, copy: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(record_id, segment, offset, length, digest[, copy_length, copy_digest]): the archive's layout.
 
     Segments are dealt by a hash of id and address; within one, records follow
     id, then digest.  Null ids, addresses and payloads are allowed; a null
-    payload is an empty one.
+    payload is an empty one.  ``copy`` maps a record's bytes to those that another
+    replica holds at its place (null: nothing); they are hashed in the same pass.
     """
     n = max(1, -(-pages.count() // segment))
     raw = warc_bytes(F.col(uri).cast("string"), F.col(payload))
-    rows = pages.select(F.col(key).alias("record_id"), segment_of(F.col(key), F.col(uri), n).alias("segment"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"))
+    more = []
+    if copy is not None:
+        other = copy(raw)
+        more = [F.octet_length(other).cast("long").alias("copy_length"), F.sha2(other, 256).alias("copy_digest")]
+    rows = pages.select(F.col(key).alias("record_id"), segment_of(F.col(key), F.col(uri), n).alias("segment"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("digest"), *more)
+    # About `segment` rows of numbers in a window, but for rows that are alike in id and address.
     before = Window.partitionBy("segment").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("record_id", "segment", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest")
+    return rows.select("record_id", "segment", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), *rows.columns[2:])
+
+
+def copies(laid: DataFrame) -> DataFrame:
+    """What the other replica holds, as ``records`` that lie where its manifest says."""
+    return laid.where("copy_digest IS NOT NULL").select("record_id", "segment", "offset", F.col("copy_length").alias("length"), F.col("copy_digest").alias("digest"))
 
 
 def tree(records: DataFrame, depth: int, tops: int) -> DataFrame:
@@ -81,14 +103,17 @@ def tree(records: DataFrame, depth: int, tops: int) -> DataFrame:
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """(record_id, segment, offset, length, fault, range_start, range_end) of each record that differs.
+    """(record_id, segment, offset, length, fault, range_start, range_end, range_hash, other_range_hash,
+    root, other_root) of each record that differs.
 
     Both sides have the columns of ``records``; a replica keeps the offsets of
     the manifest it was copied by.  fault is `changed` (length or digest differ),
-    `missing` (the replica has nothing at that offset) or `extra`.  Two empty
-    replicas are equal.
+    `missing` (the replica has nothing at that offset) or `extra`.  range_hash is
+    the node of the record's range, root that of the whole tree, null where a
+    side has none.  Two empty replicas are equal; equal rows at one place count
+    as one.  A column of another name isn't read.
     """
-    sides = [settle(primary), settle(replica)]
+    sides = [settle(x.select("record_id", "segment", "offset", "length", "digest")) for x in (primary, replica)]
     reach = sides[0].unionByName(sides[1]).agg(F.max("offset").alias("o"), F.max("segment").alias("s")).first()
     depth, tops = 1, 0
     while (reach["o"] or 0) >> (RANGE_BITS + FAN_BITS * (depth - 1)):
@@ -96,7 +121,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     while (reach["s"] or 0) >> (FAN_BITS * tops):
         tops += 1
     trees = [settle(tree(x, depth, tops)) for x in sides]
-    suspect = None
+    suspect, roots = None, None
     for level in range(depth + tops - 1, -1, -1):
         a, b = (t.where(F.col("level") == level).select("segment", "node", "hash") for t in trees)
         if suspect is not None:
@@ -107,14 +132,21 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             parents = suspect.select(F.col("segment").alias("_s"), F.col("node").alias("_n"))
             a, b = (x.select("*", *up).join(parents, ["_s", "_n"], "left_semi").drop("_s", "_n") for x in (a, b))
         b = b.withColumnRenamed("hash", "other")
-        suspect = settle(a.join(b, ["segment", "node"], "full_outer").where("NOT (hash <=> other)").select("segment", "node"))
+        suspect = settle(a.join(b, ["segment", "node"], "full_outer").where("NOT (hash <=> other)"))
+        if roots is None:
+            top = suspect.select("hash", "other").first() or (None, None)  # the one row of the highest level
+            roots = [F.lit(x).cast("string").alias(c) for x, c in zip(top, ("root", "other_root"), strict=True)]
+    places = suspect.select("segment", "node", F.col("hash").alias("range_hash"), F.col("other").alias("other_range_hash"))
     found = []
     for x in sides:
         ranged = x.withColumn("node", F.shiftright("offset", RANGE_BITS))
-        found.append(ranged.join(suspect, ["segment", "node"], "left_semi"))
+        found.append(ranged.join(places, ["segment", "node"], "left_semi"))
     a, b = found
-    b = b.select("segment", "offset", F.col("record_id").alias("other_id"), F.col("length").alias("other_length"), F.col("digest").alias("other"), F.col("node").alias("other_node"))
-    met = a.join(b, ["segment", "offset"], "full_outer").where("NOT (digest <=> other AND length <=> other_length)")
+    b = b.select("segment", "node", "offset", F.col("record_id").alias("other_id"), F.col("length").alias("other_length"), F.col("digest").alias("other"))
+    met = a.join(b, ["segment", "node", "offset"], "full_outer").where("NOT (digest <=> other AND length <=> other_length)")
     fault = F.when(F.col("digest").isNull(), "extra").when(F.col("other").isNull(), "missing").otherwise("changed")
-    node = F.coalesce("node", "other_node")
-    return met.select(F.coalesce("record_id", "other_id").alias("record_id"), "segment", "offset", F.coalesce("length", "other_length").alias("length"), fault.alias("fault"), F.shiftleft(node, RANGE_BITS).alias("range_start"), F.shiftleft(node + 1, RANGE_BITS).alias("range_end"))
+    met = met.join(places, ["segment", "node"])
+    return met.select(
+        F.coalesce("record_id", "other_id").alias("record_id"), "segment", "offset", F.coalesce("length", "other_length").alias("length"), fault.alias("fault"),
+        F.shiftleft("node", RANGE_BITS).alias("range_start"), F.shiftleft(F.col("node") + 1, RANGE_BITS).alias("range_end"), "range_hash", "other_range_hash", *roots,
+    )

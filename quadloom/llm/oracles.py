@@ -6,27 +6,59 @@ from __future__ import annotations
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_OP2 = """
+#: Levels that the SQL unrolls: of ranges within a segment, and of segments.
+_WITHIN, _ABOVE = 6, 3
+
+
+def _tree(side: str) -> str:
+    """CTEs of the nodes of one side, level by level, as far up as the archive's size asks for."""
+    out = [f"""{side}_0 AS (SELECT segment, "offset" // 65536 AS node, sha256(string_agg("offset" || ':' || length || ':' || digest, '|' ORDER BY "offset")) AS hash FROM {side} GROUP BY ALL)"""]
+    for k in range(1, _WITHIN):
+        out.append(f"""{side}_{k} AS (SELECT segment, node // 16 AS node, sha256(string_agg(node || ':' || hash, '|' ORDER BY node)) AS hash FROM {side}_{k - 1} GROUP BY segment, node // 16)""")
+    # The roots of the segments stand on the level below which one node is left.
+    tops = " UNION ALL ".join(f"SELECT segment, hash FROM {side}_{k} WHERE (SELECT depth FROM reach) = {k + 1}" for k in range(_WITHIN))
+    out.append(f"{side}_top0 AS ({tops})")
+    for k in range(1, _ABOVE + 1):
+        out.append(f"""{side}_top{k} AS (SELECT segment // 16 AS segment, sha256(string_agg(segment || ':' || hash, '|' ORDER BY segment)) AS hash FROM {side}_top{k - 1} GROUP BY segment // 16)""")
+    roots = " UNION ALL ".join(f"SELECT hash FROM {side}_top{k} WHERE (SELECT tops FROM reach) = {k}" for k in range(_ABOVE + 1))
+    out.append(f"{side}_root AS ({roots})")
+    return ",\n".join(out)
+
+
+_CASES = lambda x, bits, n: "CASE " + " ".join(f"WHEN {x} < {1 << (bits * k)} THEN {k}" for k in range(n)) + f" ELSE {n} END"
+
+_OP2 = f"""
 WITH raw AS (
-  SELECT page_id, url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-    || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
-    || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  SELECT page_id, url, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
+    || regexp_replace(substr(sha256(coalesce(url, '') || chr(10) || coalesce(html, '')), 1, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')
+    || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS record
   FROM pages),
 base AS (
-  SELECT page_id, CAST(('0x' || substr(sha256(CAST(page_id AS VARCHAR) || '|' || url), 1, 8)) AS BIGINT) % greatest(1, (SELECT (count(*) + 4095) // 4096 FROM pages)) AS segment,
-    CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest
+  SELECT page_id AS record_id, CAST(('0x' || substr(sha256(CAST(page_id AS VARCHAR) || '|' || url), 1, 8)) AS BIGINT) % greatest(1, (SELECT (count(*) + 4095) // 4096 FROM pages)) AS segment,
+    CAST(octet_length(record) AS BIGINT) AS length, sha256(record) AS digest,
+    CAST(octet_length(record) - (page_id % 97 = 3)::INT AS BIGINT) AS copy_length,
+    CASE page_id % 97 WHEN 2 THEN sha256(from_hex(hex(record)[:2 * octet_length(record) - 10] || '00' || right(hex(record), 8)))
+      WHEN 3 THEN sha256(from_hex(hex(record)[:2 * octet_length(record) - 2])) ELSE sha256(record) END AS copy_digest
   FROM raw),
-laid AS (
-  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY segment ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
-  FROM base),
-hurt AS (
-  SELECT page_id AS record_id, segment, "offset", length,
-    CASE page_id % 97 WHEN 1 THEN 'missing' ELSE 'changed' END AS fault
-  FROM laid WHERE page_id % 97 IN (1, 2, 3)
-  UNION ALL
-  SELECT page_id, segment, "offset" + 1, length, 'extra' FROM laid WHERE page_id % 97 = 4)
-SELECT record_id, segment, "offset", length, fault, CAST("offset" // 65536 * 65536 AS BIGINT) AS range_start, CAST(("offset" // 65536 + 1) * 65536 AS BIGINT) AS range_end
-FROM hurt
+laid AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY segment ORDER BY record_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM base),
+a AS (SELECT record_id, segment, "offset", length, digest FROM laid),
+b AS (
+  SELECT record_id, segment, "offset", copy_length AS length, copy_digest AS digest FROM laid WHERE record_id % 97 <> 1
+  UNION ALL SELECT record_id, segment, "offset" + 1, length, digest FROM laid WHERE record_id % 97 = 4),
+reach AS (
+  SELECT 1 + {_CASES('(o // 65536)', 4, 6)} AS depth, {_CASES('s', 4, 4)} AS tops
+  FROM (SELECT max("offset") AS o, max(segment) AS s FROM (FROM a UNION ALL FROM b))),
+{_tree('a')},
+{_tree('b')}
+SELECT coalesce(a.record_id, b.record_id) AS record_id, coalesce(a.segment, b.segment) AS segment, "offset", coalesce(a.length, b.length) AS length,
+  CASE WHEN a.digest IS NULL THEN 'extra' WHEN b.digest IS NULL THEN 'missing' ELSE 'changed' END AS fault,
+  CAST("offset" // 65536 * 65536 AS BIGINT) AS range_start, CAST(("offset" // 65536 + 1) * 65536 AS BIGINT) AS range_end,
+  x.hash AS range_hash, y.hash AS other_range_hash, (SELECT hash FROM a_root) AS root, (SELECT hash FROM b_root) AS other_root
+FROM a FULL JOIN b USING (segment, "offset")
+  LEFT JOIN a_0 x ON x.segment = coalesce(a.segment, b.segment) AND x.node = "offset" // 65536 LEFT JOIN b_0 y ON y.segment = coalesce(a.segment, b.segment) AND y.node = "offset" // 65536
+WHERE NOT (a.digest IS NOT DISTINCT FROM b.digest AND a.length IS NOT DISTINCT FROM b.length)
 """
 
 _OP3 = f"""

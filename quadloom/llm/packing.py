@@ -9,8 +9,12 @@ on the number of distinct lengths, not of documents.  The patterns become a
 table of slots, at most some thousand rows, and pieces find their slot by their
 rank among the pieces of their length.
 
-Ranks are taken within (length, salt) and raised by the counts of lower salts,
-so that one length shared by most documents is dealt over ``SALTS`` tasks.
+Ranks are taken within (length, salt) and raised by the counts of lower salts.  A
+length has a salt for every ``PER_SALT`` of its pieces, dealt by a number that
+each piece gets where it is cut, so that neither a length nor equal rows burden a
+task, and the salts' counts, which are broadcast, stay few.
+
+Sequences are padded to ``size``; one whose tokens are a power of two needs none.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import lean, settle, text_bytes
 
 SIZE = 1024
-SALTS = 256
+#: Pieces of one length in a salt.
+PER_SALT = 500_000
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces that one output batch holds.
@@ -44,17 +49,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str):
-    """The byte-level BPE of a ``tokenizers`` JSON file, as a ``tiktoken`` encoder.
+    """The byte-level BPE of a ``tokenizers`` JSON file, as a ``tiktoken`` encoder with the strings of its added tokens.
 
     Ids equal those of ``tokenizers`` with add_special_tokens=False (tests hold
-    the two against each other); strings of special tokens are ordinary text.
-    Needs a file whose merges are in the order of their ids.
+    the two against each other).  Needs a file whose merges are in the order of
+    their ids, and whose added tokens are plain strings.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, added = whole["model"], {t["content"]: t["id"] for t in whole.get("added_tokens", [])}
+    if any(t[k] for t in whole.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that aren't plain strings")
     # The printable stand-ins of byte-level BPE: visible bytes stand for themselves.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -66,28 +74,37 @@ def byte_bpe(path: str):
         raise ValueError("merges aren't in the order of ids")
     plain = {"".join(m.split(" ")) for m in merges} | set(byte)
     ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t in plain}
-    return tiktoken.Encoding("quadloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {t: i for t, i in ranks.items() if i not in added.values()}
+    return tiktoken.Encoding("quadloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def token_ids(encoder, text: str, special: bool = True) -> list[int]:
+    """Ids of ``text``; the strings of added tokens become those, or ordinary text if not ``special``."""
+    if special and any(t in text for t in encoder.special_tokens_set):
+        return encoder.encode(text, allowed_special="all")
+    return encoder.encode_ordinary(text)
 
 
-def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's tokens, cut.
+def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, path: str | None = None, keep_ids: bool = False, special: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, deal[, ids]): each document's tokens, cut.
 
     A document's tokens are its ids and then id 0; null text counts as empty.
+    deal is a number that equal pieces of a task don't share.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     fixed = path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_bpe(fixed or vocabulary_path())
+        encoder, count = byte_bpe(fixed or vocabulary_path()), 0
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            raw, rows = data.tobytes(), {k: [] for k in ("row", "start", "length", "crc", "total", "ids")}
+            raw, rows = data.tobytes(), {k: [] for k in ("row", "start", "length", "crc", "total", "deal", "ids")}
 
             def flush(rows=rows, batch=batch):
                 ids = batch.column(0).take(pa.array(rows["row"], pa.int64()))
-                made = [ids] + [pa.array(rows[k], pa.int64()) for k in ("start", "length", "crc", "total")]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                made = [ids] + [pa.array(rows[k], pa.int64()) for k in ("start", "length", "crc", "total", "deal")]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"]
                 if keep_ids:
                     made.append(pa.array(rows["ids"], pa.list_(pa.int32())))
                     names.append("ids")
@@ -96,7 +113,7 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                 return pa.RecordBatch.from_arrays(made, names)
 
             for i in range(batch.num_rows):
-                ids = encoder.encode_ordinary(raw[off[i] : off[i + 1]].decode("utf-8", "replace"))
+                ids = token_ids(encoder, raw[off[i] : off[i + 1]].decode("utf-8", "replace"), special)
                 ids.append(END_ID)
                 tokens = np.array(ids, "<u4")
                 for start in range(0, len(tokens), size):
@@ -106,6 +123,8 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                     rows["length"].append(len(piece))
                     rows["crc"].append(zlib.crc32(piece.tobytes()))
                     rows["total"].append(len(tokens))
+                    rows["deal"].append(rows["crc"][-1] ^ (count * 0x9E3779B1 & 0xFFFFFFFF))
+                    count += 1
                     if keep_ids:
                         rows["ids"].append(piece.astype(np.int32))
                 if len(rows["row"]) >= ROWS:
@@ -113,7 +132,7 @@ def cut_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
             if rows["row"]:
                 yield flush()
 
-    made = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
+    made = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, deal long" + ", ids array<int>" * keep_ids
     return lean(source).mapInArrow(run, made)
 
 
@@ -178,32 +197,35 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return rows
 
 
-def pack(pieces: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
-    """``pieces`` with (sequence_id, offset).  ``pieces`` has doc_id, start, length, ids_crc32.
+def pack(pieces: DataFrame, size: int = SIZE, per_salt: int = PER_SALT) -> DataFrame:
+    """``pieces`` with (sequence_id, offset).  ``pieces`` has doc_id, start, length, ids_crc32 and deal,
+    which is dropped; the table is read three times and must be the same each time.
 
     Pieces that tie in all of these are alike, so any order of them is right.
     An empty table gives an empty one.
     """
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")
-    dealt = pieces.withColumn("_salt", salt)
-    # At most size * salts rows.
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
+    patterns = shortest_pack_first(counts, size)
+    table = spark.createDataFrame(slots(patterns), "_length long, _low long, _high long, _sequence long, offset long")
+    salts = spark.createDataFrame([(k, -(-n // per_salt)) for k, n in counts.items()], "length long, _salts long")
+    dealt = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("deal"), "_salts")).drop("_salts")
+    # A row for each length and each PER_SALT pieces.
     counted = settle(dealt.groupBy("length", "_salt").agg(F.count("*").alias("_n")))
-    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    table = spark.createDataFrame(slots(shortest_pack_first(histogram, size)), "_length long, _low long, _high long, _sequence long, offset long")
     below = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("length", "_salt", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_base"))
     ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
     ranked = ranked.join(F.broadcast(base), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     fits = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high"))
     placed = ranked.join(F.broadcast(table), fits)
-    return placed.select(*pieces.columns, (F.col("_sequence") + F.col("_rank") - F.col("_low")).alias("sequence_id"), "offset")
+    return placed.select(*[c for c in pieces.columns if c != "deal"], (F.col("_sequence") + F.col("_rank") - F.col("_low")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, path: str | None = None, keep_ids: bool = False, special: bool = True) -> DataFrame:
     """All documents as pieces in padded sequences of ``size`` tokens.
 
     Null and empty texts are one piece of the end id; repeated rows are packed
-    as often as they occur; other columns aren't read.
+    as often as they occur; other columns aren't read.  A text's tokens are held
+    by one task, 28 bytes a token.
     """
-    return pack(settle(cut_pieces(docs, doc_id, text, size, path, keep_ids)), size)
+    return pack(settle(cut_pieces(docs, doc_id, text, size, path, keep_ids, special)), size)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, language_id, line_dedup, merkle, packing, quality_rules, simhash, substring, toxicity, zstd_quality
+from .common import settle
 from .language_id import fold
 from .oracles import ORACLES
 
@@ -23,20 +24,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of the page archive that has been damaged by a fixed rule.
 
-    The tables hold one copy of the pages only, so the second one is derived:
-    by the id modulo 97, records are lost (1), altered (2), cut short (3), or
-    followed by a stray record (4).
+    The tables hold one copy of the pages only, so the second one's bytes are
+    derived: by the id modulo 97, records are lost (1), have a byte altered (2),
+    are cut short by a byte (3), or are followed by a stray record (4).
     """
-    primary = merkle.records(table(spark, sf_dir, "pages"))
-    part = F.pmod(F.col("record_id"), F.lit(97))
-    hurt = primary.where(F.coalesce(part, F.lit(0)) != 1)
-    replica = hurt.select(
-        "record_id", "segment", "offset",
-        F.when(part == 3, F.col("length") - 1).otherwise(F.col("length")).alias("length"),
-        F.when(part.isin(2, 3), F.sha2("digest", 256)).otherwise(F.col("digest")).alias("digest"),
-    )
-    stray = primary.where(part == 4).select("record_id", "segment", (F.col("offset") + 1).alias("offset"), "length", "digest")
-    return merkle.audit(primary, replica.unionByName(stray))
+    part = F.pmod(F.col("page_id"), F.lit(97))
+
+    def damaged(raw: Column) -> Column:
+        at = F.octet_length(raw) - 4
+        altered = F.concat(F.substring(raw, 1, at - 1), F.lit(b"\x00"), F.substring(raw, at + 1, 4))
+        return F.when(part == 1, F.lit(None).cast("binary")).when(part == 2, altered).when(part == 3, F.substring(raw, 1, at + 3)).otherwise(raw)
+
+    laid = settle(merkle.records(table(spark, sf_dir, "pages"), copy=damaged))
+    stray = laid.where(F.pmod(F.col("record_id"), F.lit(97)) == 4).select("record_id", "segment", (F.col("offset") + 1).alias("offset"), "length", "digest")
+    return merkle.audit(laid, merkle.copies(laid).unionByName(stray))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

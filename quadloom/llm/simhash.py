@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, append_columns, apply_groups, mix, settle, text_bytes, words
+from .common import LOWER, SPACED, append_columns, apply_groups, mix, release, settle, text_bytes, unused, words
 from .components import components
 
 SHINGLE = 4
@@ -280,22 +280,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a component of null ids only has component_id null.  Repeated rows give
     repeated rows; an empty table an empty one.
     """
+    done, member = _grouped(docs, doc_id, text, distance)
+    hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
+    return done.join(member, "fingerprint").select("doc_id", hexed, F.col("first.id").alias("component_id"), "n_words")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of id, fingerprint, hash of the text, n_words; each fingerprint with the first row of its group).
+
+    The first row is the one of the least id, null last, then of the least
+    fingerprint and hash.
+    """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    done = settle(fingerprints(source).drop("text"))
-    least = settle(done.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    done = settle(fingerprints(source.withColumn("mark", _mark("text"))).drop("text"))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), "fingerprint", "mark")
+    least = settle(done.groupBy("fingerprint").agg(F.min(first).alias("least")))
     joined = settle(components(link_fingerprints(least.select("fingerprint"), distance)))
     grouped = least.join(joined, least.fingerprint == joined.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    of_root = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = grouped.join(of_root, "root").select("fingerprint", "component_id")
-    return done.join(member, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "n_words")
+    of_root = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    return done, grouped.join(of_root, "root").select("fingerprint", "first")
+
+
+def _mark(text: str):
+    return F.xxhash64(F.lit(5), F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with the rows whose id is the component_id of their group.
+    """``docs`` with one document of each group: that of the least id (null last), then the least fingerprint.
 
-    Rows that share that id and the fingerprint all stay (repeated rows are one
-    document); so do rows with a null id, which no group can name.
+    Rows alike in id and text are one document and stay or go together; rows
+    that share an id and differ in text are documents of their own, and so are
+    rows without an id.
     """
-    groups = near_duplicates(docs, doc_id, text, distance)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs[doc_id] == dropped["_gone"], "left_anti")
+    done, member = _grouped(docs, doc_id, text, distance)
+    own = (F.col("doc_id").eqNullSafe(F.col("first.id"))) & (F.col("fingerprint") == F.col("first.fingerprint")) & (F.col("mark") == F.col("first.mark"))
+    gone_id, gone_mark, mark = unused(docs, "gone_id", "gone_mark", "mark")
+    dropped = done.join(member, "fingerprint").where(~own).select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
+    marked = docs.withColumn(mark, _mark(text))
+    return marked.join(dropped, F.col(f"`{doc_id}`").eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark)), "left_anti").drop(mark)

@@ -30,15 +30,17 @@ FIT_CHARS = 6000
 FEATURES = Features(prefixes=(4, 5, 6, 7, 8), suffixes=(5, 6, 7))
 #: A word with a marginal of at least this is part of an offending span.
 SPAN = 0.5
-#: How unlikely by chance a lexicon entry must be, in nats, and how much likelier in toxic documents.
+#: How unlikely by chance a lexicon entry must be, in nats, and how many times likelier in toxic
+#: documents: to be there at all, and for a word to be one.
 CHANCE = 15.0
-LIFT = 15
+LIFT = 4
+RATE = 15
 
 
 @dataclass
 class Tagger:
     field: Crf
-    #: Weights of bias, largest marginal, log of the summed marginals.
+    #: Weights of what ``evidence`` returns.
     calibration: np.ndarray
 
 
@@ -74,24 +76,29 @@ def lexicon(distinct: pa.Array, codes: np.ndarray, first: np.ndarray, toxic: np.
     """Which feature indices mark toxic documents.
 
     A feature marks them if the share of toxic documents with it is LIFT times
-    that of others, and so many would hardly have met by chance.
+    that of others, and so many would hardly have met by chance, and if the share
+    of toxic documents' words with it is RATE times that of others.
     """
     index, who = features.of(distinct)
     order = np.argsort(who, kind="stable")
     index, edge = index[order], np.searchsorted(who[order], np.arange(len(distinct) + 1))
     size = 1 << features.bits
-    counts = np.zeros((2, size), np.int64)
+    counts, times = np.zeros((2, size), np.int64), np.zeros((2, size), np.int64)
     for i, kind in enumerate(toxic.astype(int).tolist()):
-        word = np.unique(codes[first[i] : first[i + 1]])
+        word, often = np.unique(codes[first[i] : first[i + 1]], return_counts=True)
         if len(word):
-            counts[kind][np.unique(np.concatenate([index[edge[w] : edge[w + 1]] for w in word.tolist()]))] += 1
+            own = np.concatenate([index[edge[w] : edge[w + 1]] for w in word.tolist()])
+            counts[kind][np.unique(own)] += 1
+            np.add.at(times[kind], own, np.repeat(often, edge[word + 1] - edge[word]))
     good, bad = counts.astype(float)
     base = np.clip(toxic.mean(), 1e-9, 1 - 1e-9)
     total = np.maximum(good + bad, 1)
     q = np.clip(bad / total, 1e-9, 1 - 1e-9)
     surprise = total * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base)))
     lift = (bad / max(toxic.sum(), 1)) / ((good + 0.5) / max((~toxic).sum(), 1))
-    return (q > base) & (surprise >= CHANCE) & (lift >= LIFT)
+    n_words = [np.diff(first)[toxic == kind].sum() for kind in (False, True)]
+    rate = (times[1] / max(n_words[1], 1)) / ((times[0] + 1) / max(n_words[0], 1))
+    return (q > base) & (surprise >= CHANCE) & (lift >= LIFT) & (rate >= RATE)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Tagger | None:
@@ -140,16 +147,18 @@ def first_lines(texts: list[str]) -> list[str]:
 
 
 def evidence(marginal: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Bias, largest marginal and log of the summed marginals over SPAN / 5, by document."""
-    n = len(first) - 1
-    out = np.zeros((n, 3))
+    """By document: bias, largest marginal, log of the summed marginals over SPAN / 5, and log of their share of the words."""
+    size = np.diff(first)
+    out = np.zeros((len(size), 4))
     out[:, 0] = 1
-    some = np.flatnonzero(np.diff(first))
+    some = np.flatnonzero(size)
     if len(some):
         out[some, 1] = np.maximum.reduceat(marginal, first[some])
-        strong = np.where(marginal >= SPAN / 5, marginal, 0)
-        total = np.concatenate([[0], np.cumsum(strong, dtype=np.float64)])
-        out[:, 2] = np.log1p(total[first[1:]] - total[first[:-1]])
+    strong = np.where(marginal >= SPAN / 5, marginal, 0)
+    total = np.concatenate([[0], np.cumsum(strong, dtype=np.float64)])
+    total = total[first[1:]] - total[first[:-1]]
+    out[:, 2] = np.log1p(total)
+    out[:, 3] = np.where(total > 0, np.log((total + 0.3) / (size + 30)) - np.log(0.3 / 3000), 0)
     return out
 
 

@@ -118,7 +118,9 @@ def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, i) for i in range(5001, 5200)]
     want = groups({x for p in links for x in p}, links)
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    df = spark.createDataFrame(links, "u long, v long")
+    got = {r.node: r.root for r in components.components(df).collect()}
+    assert got == {r.node: r.root for r in components.components(df, one_task=0).collect()}
     assert got == {n: r for n, r in want.items() if n in got} and {n for n in want if sum(x == want[n] for x in want.values()) > 1} == set(got)
 
 

@@ -93,6 +93,27 @@ def test_columns_that_clash_are_replaced(docs, bench):
     assert simhash.keep_one(docs).columns == docs.columns and line_dedup.without_copies(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("names", [("_id", "_gone", "_hit", "_items", "_tag"), ("gone_id", "gone_mark", "mark", "hit_bits", "hit_items"), ("own_tag", "copy_id", "copy_tag", "gone_lines", "n_hit"), ("n_lines", "kept_text", "rejected", "lang_pred", "clean_text")])
+def test_working_columns_that_clash(spark, bench, names):
+    """Columns called like those that operators work with come through as they were."""
+    rows = [(i, t, *range(5)) for i, t in ROWS[:7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    model = language_id.learn(docs.withColumn("lang", F.lit("aa")))
+    for out in (decontam.decontaminate(docs, bench), line_dedup.without_copies(docs), simhash.keep_one(docs), language_id.keep_known(docs, model, least=0)):
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        got = out.collect()
+        assert got and all(r[2:] == (0, 1, 2, 3, 4) for r in got)
+
+
+def test_one_document_of_each_group(spark):
+    """Of rows that share an id and differ in text, and of rows without an id, one of each group stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = b + " "
+    rows = [(3, b), (5, a), (5, b), (None, c), (None, c + "\n"), (None, b), (7, near), (None, a)]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for x in got if x[0]) == [(3, b), (5, a)] and len(got) == 3 and got[[x[0] for x in got].index(None)][1].strip() == c
+
+
 def test_audit_of_empty_archives(docs, none):
     side = merkle.records(none, "doc_id", "extra", "text")
     assert merkle.audit(side, side).count() == 0

@@ -18,12 +18,15 @@ def test_tokens_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
     e = packing.byte_bpe(packing.vocabulary_path())
     rng = random.Random(0)
     texts = ["", " ", "Hello  world's\n\n\tok 123,456 %%% éà 你好 🙂 ", "<|endoftext|> x", "a" * 3000, "\r\n   x", "don't I'LL we've"]
     texts += ["".join(rng.choice("aé B1.\n'\t🙂ß中") for _ in range(200)) for _ in range(100)]
-    assert all(t.encode(x, add_special_tokens=False).ids == e.encode_ordinary(x) for x in texts)
+    texts += ["a <|endoftext|> x", "<|endoftext|><|endoftext|>\n<|endoftext"]
+    assert all(t.encode(x, add_special_tokens=False).ids == packing.token_ids(e, x) for x in texts)
+    assert 50256 in packing.token_ids(e, texts[-1])
+    t.encode_special_tokens = True
+    assert all(t.encode(x, add_special_tokens=False).ids == packing.token_ids(e, x, special=False) for x in texts)
 
 
 def test_pack_round_trip(spark, sf_dir):
@@ -49,6 +52,15 @@ def test_pack_round_trip(spark, sf_dir):
     assert sum(r.length for r in rows) >= 0.95 * 1024 * len(by_sequence)
 
 
+def test_salts_of_one_length(spark):
+    """Equal rows and one length are dealt over salts, and each slot is used once."""
+    docs = spark.createDataFrame([(None, None)] * 300 + [(i, "a b c") for i in range(100)], "doc_id long, text string")
+    pieces = packing.settle(packing.cut_pieces(docs.repartition(3)))
+    rows = packing.pack(pieces, per_salt=40).collect()
+    assert len(rows) == 400 and len({(r.sequence_id, r.offset) for r in rows}) == 400
+    assert pieces.where("length = 1").select(F.pmod(F.xxhash64("deal"), F.lit(8))).distinct().count() == 8
+
+
 def test_shortest_pack_first():
     rng = random.Random(1)
     for size in (8, 64):
@@ -111,6 +123,9 @@ def test_forward_backward_against_enumeration():
         e, a = rng.normal(size=(n, k)).astype(np.float32), rng.normal(size=(k, k))
         begin = np.cumsum([0, *lens])
         m, counts = crf.forward_backward(e, a, begin)
+        for segment in (1, 2, 3):  # long chains are read in segments
+            parts = crf.forward_backward(e, a, begin, segment)
+            assert np.allclose(parts[0], m, atol=1e-5) and np.allclose(parts[1], counts, atol=1e-4)
         want, moves = np.zeros((n, k)), np.zeros((k, k))
         for lo, hi in itertools.pairwise(begin):
             total = 0.0
@@ -129,8 +144,8 @@ def test_forward_backward_against_enumeration():
 
 def test_chains_and_features():
     data = np.frombuffer("aa bb cc dd ee\nff gg".encode() + "hh ii".encode(), np.uint8)
-    codes, distinct, starts, ends, first, begin = crf.line_words(data, np.array([0, 20, 25]), chain=3)
-    assert begin.tolist() == [0, 3, 5, 7, 9] and first.tolist() == [0, 7, 9]
+    codes, distinct, starts, ends, first, begin = crf.line_words(data, np.array([0, 20, 25]))
+    assert begin.tolist() == [0, 5, 7, 9] and first.tolist() == [0, 7, 9]
     f = crf.Features(grams=(2,), prefixes=(3,), suffixes=(3,))
     one, who = f.of(pa.array([b"abc", b"x"], pa.binary()))
     two, _ = f.of(pa.array([b"zz", b"abc"], pa.binary()).slice(1))

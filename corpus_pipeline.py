@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import decontam, language_id, line_dedup, packing, simhash
-from quadloom.llm.common import settle
+from quadloom.llm.common import release, settle
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -23,9 +23,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: texts without a letter, or in no one learned language, go."""
     model = language_id.learn(docs.where(language_id.fold("doc_id", 4) != 2))
-    scored = language_id.identify(docs, model)
-    kept = scored.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.LEAST_SCORE))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return language_id.keep_known(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

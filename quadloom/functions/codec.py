@@ -84,14 +84,29 @@ def decode_npy(payload: bytes) -> np.ndarray:
     return np.load(io.BytesIO(payload), allow_pickle=False)
 
 
+def _cubic(t: np.ndarray, a: float = -0.5) -> np.ndarray:
+    t = np.abs(t)
+    return np.where(t < 1, (a + 2) * t**3 - (a + 3) * t**2 + 1, np.where(t < 2, a * (t**3 - 5 * t**2 + 8 * t - 4), 0))
+
+
+#: Filters of resampling by name, as functions of the distance in pixels.
+FILTERS = {
+    "box": lambda t: ((t > -0.5) & (t <= 0.5)).astype(float),
+    "bilinear": lambda t: np.maximum(0, 1 - np.abs(t)),
+    "hamming": lambda t: np.where(np.abs(t) < 1, np.sinc(t) * (0.54 + 0.46 * np.cos(np.pi * t)), 0),
+    "bicubic": _cubic,
+    "lanczos": lambda t: np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0),
+}
+
+
 def resize(image: np.ndarray, height: int, width: int, how: str = "nearest") -> np.ndarray:
-    """[height, width, channels] resampled: nearest (pixel centres), box, or bilinear (with support
-    widened when shrinking); rounded back to the image's type."""
+    """[height, width, channels] resampled: nearest (pixel centres), or a filter of FILTERS with its
+    support widened when shrinking; rounded back to the image's type."""
     if how == "nearest":
         r = np.minimum(((np.arange(height) + 0.5) * image.shape[0] / height).astype(int), image.shape[0] - 1)
         c = np.minimum(((np.arange(width) + 0.5) * image.shape[1] / width).astype(int), image.shape[1] - 1)
         return image[r][:, c]
-    kernel = {"box": lambda t: (np.abs(t) <= 0.5).astype(float), "bilinear": lambda t: np.maximum(0, 1 - np.abs(t))}[how]
+    kernel = FILTERS[how]
 
     def weights(old: int, new: int) -> np.ndarray:
         scale = max(old / new, 1.0)

@@ -27,18 +27,35 @@ def tile_list(tiles: DataFrame) -> DataFrame:
     return tiles.select("tile_id").distinct()
 
 
-def ordinal(df: DataFrame, key: str, bits: int = 12) -> DataFrame:
+def _before(counts: DataFrame, bits: int) -> DataFrame:
+    """(slot, base): the sum of n over smaller slots of (slot, n), level by level.
+
+    Sums are taken within groups of 2**bits neighbouring slots, and those groups
+    are slots of the next level, so no task orders more than 2**bits rows.
+    """
+    reach = counts.agg(F.min("slot").alias("low"), F.max("slot").alias("high")).first()
+    if reach["low"] is None or reach["low"] >> bits == reach["high"] >> bits:
+        group = F.lit(0).cast("long")
+    else:
+        group = F.shiftright("slot", bits)
+    inner = Window.partitionBy("group").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("group", group).select("slot", "group", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("inner"))
+    if reach["low"] is None or reach["low"] >> bits == reach["high"] >> bits:
+        return ranked.select("slot", F.col("inner").alias("base"))
+    above = _before(counts.groupBy(F.shiftright("slot", bits).alias("slot")).agg(F.sum("n").alias("n")), bits)
+    return ranked.join(above.select(F.col("slot").alias("group"), F.col("base").alias("outer")), "group").select("slot", (F.col("inner") + F.col("outer")).alias("base"))
+
+
+def ordinal(df: DataFrame, key: str, bits: int = 12, slot: Column | None = None) -> DataFrame:
     """``df`` with ordinal, the number of rows with a smaller ``key`` (an integer, unique).
 
     Ranks are taken within ranges of 2**bits keys and raised by the counts of
-    the ranges before, so no task holds more than a range; only the counts are
-    ordered in one place.
+    the ranges before, so no task holds more than a range.  ``slot`` names
+    other ranges, integers that come first in the order.
     """
-    slot = F.shiftright(F.col(key).cast("long"), bits)
-    dealt = df.withColumn("_slot", slot)
-    counts = dealt.groupBy("_slot").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    dealt = df.withColumn("_slot", F.shiftright(F.col(key).cast("long"), bits) if slot is None else slot.cast("long"))
+    counts = dealt.groupBy(F.col("_slot").alias("slot")).agg(F.count("*").alias("n"))
+    base = _before(counts, 12).select(F.col("slot").alias("_slot"), F.col("base").alias("_base"))
     inner = F.row_number().over(Window.partitionBy("_slot").orderBy(key)) - 1
     return dealt.withColumn("_rank", inner).join(base, "_slot").withColumn("ordinal", (F.col("_rank") + F.col("_base")).cast("long")).drop("_slot", "_rank", "_base")
 
@@ -111,7 +128,7 @@ def overlay_fold(pixels: DataFrame, key: list[str], order: str) -> DataFrame:
     return spot.select(*key, "row", "col", F.posexplode(F.coalesce("top", "base")).alias("ch", "value"))
 
 
-def merge_tilesets(tiles: DataFrame, how: str = "png") -> DataFrame:
+def merge_tilesets(tiles: DataFrame) -> DataFrame:
     """(tile_id, n_sources, payload): archives merged in the order ``ord``.
 
     ``tiles``: tile_id, ord, payload.  A tile of one archive is copied without
@@ -119,9 +136,11 @@ def merge_tilesets(tiles: DataFrame, how: str = "png") -> DataFrame:
     """
     from ..functions.codec import decode_png, encode_png, overlay
 
-    grouped = tiles.groupBy("tile_id").agg(F.sort_array(F.collect_list(F.struct("ord", "payload"))).alias("held"))
-    single = grouped.where(F.size("held") == 1).select("tile_id", F.lit(1).alias("n_sources"), F.col("held")[0]["payload"].alias("payload"))
-    several = grouped.where(F.size("held") > 1).select("tile_id", F.size("held").alias("n_sources"), F.transform("held", lambda h: h["payload"]).alias("payloads"))
+    # Which ids are in several archives is known from the keys alone; only those payloads are gathered.
+    shared = tiles.groupBy("tile_id").agg(F.count("*").alias("n")).where("n > 1").select("tile_id")
+    single = tiles.join(shared, "tile_id", "left_anti").select("tile_id", F.lit(1).alias("n_sources"), "payload")
+    grouped = tiles.join(shared, "tile_id", "left_semi").groupBy("tile_id").agg(F.sort_array(F.collect_list(F.struct("ord", "payload"))).alias("held"))
+    several = grouped.select("tile_id", F.size("held").alias("n_sources"), F.transform("held", lambda h: h["payload"]).alias("payloads"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

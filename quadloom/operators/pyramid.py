@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tilemath as tm
@@ -26,6 +26,41 @@ def schedule(boxes: DataFrame, min_zoom: int = 6, max_zoom: int = 14) -> DataFra
     return rows.where(inside).withColumn("tile_id", tm.tile_id(F.col("z"), F.col("x"), F.col("y")))
 
 
+def legacy_schedule(boxes: DataFrame, min_zoom: int = 1, max_zoom: int = 20) -> DataFrame:
+    """As ``schedule``, with max_zoom included, and from the zoom of the smallest tile that holds the box where that is lower."""
+    whole = tm.bounding_tile(*[F.col(k) for k in ("west", "south", "east", "north")])
+    first = boxes.agg(F.min(whole["z"])).first()[0]
+    rows = schedule(boxes, min(min_zoom, min_zoom if first is None else first), max_zoom + 1)
+    return rows.where((F.col("z") >= min_zoom) | (F.col("z") >= whole["z"]))
+
+
+def burn(areas: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
+    """(aoi_id, z, x, y, tile_id): tiles that share some area with the polygon ``ring`` of (aoi_id, ring).
+
+    ring: an array of (x, y) in degrees.  The tiles of its box are generated,
+    then held against the polygon in Arrow batches; zooms run from min_zoom to
+    below max_zoom.
+    """
+    from ..functions.polygons import box_ring, covered_area
+
+    def end(f, axis: str) -> Column:
+        return f(F.transform("ring", lambda p: p[axis].cast("double")))
+
+    boxes = areas.select("aoi_id", "ring", end(F.array_min, "x").alias("west"), end(F.array_min, "y").alias("south"), end(F.array_max, "x").alias("east"), end(F.array_max, "y").alias("north"))
+    box = tm.bounds(F.col("z"), F.col("x"), F.col("y"))
+    edges = ("west", "south", "east", "north")
+    rows = schedule(boxes, min_zoom, max_zoom).select("aoi_id", F.col("z").cast("int"), F.col("x").cast("int"), F.col("y").cast("int"), "tile_id", "ring", *[box[k].alias(k) for k in edges])
+
+    def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rings = [[(p["x"], p["y"]) for p in r] for r in b.column("ring").to_pylist()]
+            sides = zip(*(b.column(k).to_pylist() for k in edges), strict=True)
+            inside = [covered_area(r, [box_ring(*s)]) > 1e-12 for r, s in zip(rings, sides, strict=True)]
+            yield b.filter(pa.array(inside, pa.bool_())).select(["aoi_id", "z", "x", "y", "tile_id"])
+
+    return rows.mapInArrow(touch, "aoi_id long, z int, x int, y int, tile_id long")
+
+
 def zoom_expand(tiles: DataFrame, source: int, targets: list[int]) -> DataFrame:
     """Distinct descendants (tile_id) at the target zooms of the tiles of zoom ``source``; the same zoom is the tile itself."""
     low, high = tm.zoom_range(source)
@@ -90,12 +125,16 @@ def build_pyramid(tiles: DataFrame, source: int, final: int = 1, how: str = "nea
     """
     if final >= source:
         raise ValueError("the final zoom must lie above the source zoom")
+    spark = tiles.sparkSession
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared)
     low, high = tm.zoom_range(source)
     level, made = tiles.where(F.col("tile_id").between(low, high)).select("tile_id", "payload"), None
     for _ in range(source - final):
         level = downsample_images(level, how)
-        if tiles.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
+        # Each level is made once: kept where all executors find it, or else where it can be made again.
+        level = level.checkpoint() if shared else level.persist()
         made = level if made is None else made.unionByName(level)
     kept = tiles.select("tile_id", "payload").join(made.select("tile_id"), "tile_id", "left_anti")
     return kept.unionByName(made)

@@ -27,9 +27,9 @@ def merge_tree(chunks: DataFrame, groups: int) -> DataFrame:
     return grouped.groupBy("node").agg(F.array_join(listed, " ").alias("inputs"))
 
 
-def shuffle_key(key: Column, epoch: int) -> Column:
-    """A repeatable order for an epoch: a mixed number above the key itself, which breaks ties."""
-    return F.shiftleft(F.pmod(key * 7919 + epoch * 104729, F.lit(1000003)), 40) + key
+def shuffle_slot(key: Column, epoch: int) -> Column:
+    """One of 1,000,003 places in an epoch's repeatable order; the key breaks ties.  Doesn't overflow for any key."""
+    return F.pmod(F.pmod(key, F.lit(1000003)) * 7919 + epoch * 104729, F.lit(1000003))
 
 
 def rank_shard(rows: DataFrame, key: str, world: int, epoch: int = 0, pad: bool = True) -> DataFrame:
@@ -38,8 +38,7 @@ def rank_shard(rows: DataFrame, key: str, world: int, epoch: int = 0, pad: bool
     ``pad`` repeats the first rows until all shards are equally long, and drops
     none.
     """
-    mixed = rows.select(key, shuffle_key(F.col(key).cast("long"), epoch).alias("_order"))
-    numbered = ordinal(mixed, "_order", bits=50).drop("_order")
+    numbered = ordinal(rows.select(key), key, slot=shuffle_slot(F.col(key).cast("long"), epoch))
     if pad:
         total = rows.agg(F.count("*").alias("_t"))
         short = F.pmod(-F.col("_t"), F.lit(world))
@@ -72,6 +71,23 @@ def job_script(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("scene_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("l")))), lambda s: s["l"]), "\n").alias("script"))
 
 
+def download_script(chunks: DataFrame, groups: int, output: str = "all.tiles") -> DataFrame:
+    """(step, place, line): shell lines that download each chunk's list, merge the chunks by groups, and those into one.
+
+    Each line does nothing where its output is there already.
+    """
+    line = lambda out, command: F.concat(F.lit("[ -f "), out, F.lit(" ] || "), command)
+    one = chunks.select("chunk").distinct()
+    name = F.format_string("chunk_%d", F.col("chunk").cast("long"))
+    fetch = one.select(F.struct(F.lit(0).alias("step"), F.col("chunk").cast("int").alias("place")).alias("n"), line(F.concat(name, F.lit(".tiles")), F.concat(F.lit("fetch "), name, F.lit(".list "), name, F.lit(".tiles"))).alias("line"))
+    node = F.format_string("merged_%d.tiles", F.col("node").cast("long"))
+    some = merge_tree(chunks, groups)
+    merge = some.select(F.struct(F.lit(1).alias("step"), F.col("node").cast("int").alias("place")).alias("n"), line(node, F.concat(F.lit("merge "), "inputs", F.lit(" "), node)).alias("line"))
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.col("node").cast("long"))), lambda c: F.format_string("merged_%d.tiles", c)), " ")
+    last = some.agg(names.alias("inputs")).select(F.struct(F.lit(2).alias("step"), F.lit(0).alias("place")).alias("n"), line(F.lit(output), F.concat(F.lit("merge "), "inputs", F.lit(f" {output}"))).alias("line"))
+    return fetch.unionByName(merge).unionByName(last).select(F.col("n.step").alias("step"), F.col("n.place").alias("place"), "line")
+
+
 def sample_metrics(metrics: DataFrame, every: int = 10) -> DataFrame:
     """The batches that are logged: every ``every``-th of an epoch."""
     return metrics.where(F.col("batch_idx") % every == 0)

@@ -149,13 +149,21 @@ def logits(pairs: DataFrame, batch: int = BATCH, temperature: float = TEMPERATUR
     return left.join(right, "batch").select("batch", "i", "j", (dot(F.col("a"), F.col("b")) / temperature).alias("logit"))
 
 
+def _entropy(table: DataFrame, own: str, name: str) -> DataFrame:
+    """(batch, name): mean over the rows (own: i) or columns (own: j) of the cross entropy of the matching pair."""
+    rows = table.groupBy("batch", own).agg((F.log(F.sum(F.exp("logit"))) - F.max(F.when(F.col("i") == F.col("j"), F.col("logit")))).alias("l"))
+    return rows.groupBy("batch").agg(F.avg("l").alias(name))
+
+
 def contrastive_loss(table: DataFrame) -> DataFrame:
     """(batch, loss): cross entropy of the matching pair, mean over rows and over columns, halved."""
-    def side(own: str) -> DataFrame:
-        rows = table.groupBy("batch", own).agg((F.log(F.sum(F.exp("logit"))) - F.max(F.when(F.col("i") == F.col("j"), F.col("logit")))).alias("l"))
-        return rows.groupBy("batch").agg(F.avg("l").alias(own))
+    return _entropy(table, "i", "one").join(_entropy(table, "j", "two"), "batch").select("batch", ((F.col("one") + F.col("two")) / 2).alias("loss"))
+
 
-    return side("i").join(side("j"), "batch").select("batch", ((F.col("i") + F.col("j")) / 2).alias("loss"))
+def contrastive_three(pair: DataFrame, own: DataFrame) -> DataFrame:
+    """(batch, loss): mean of three, both ways of the pair's logits and the third modality against itself."""
+    sides = _entropy(pair, "i", "one").join(_entropy(pair, "j", "two"), "batch").join(_entropy(own, "i", "three"), "batch")
+    return sides.select("batch", ((F.col("one") + F.col("two") + F.col("three")) / 3).alias("loss"))
 
 
 def attention_weights(patches: DataFrame, slope: float, side: int) -> DataFrame:

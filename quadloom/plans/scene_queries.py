@@ -84,7 +84,22 @@ def greedy_cover(spark, sf_dir):
     return scenes.cover(_pairs(spark, sf_dir)).withColumn("coverage", F.round("coverage", 9))
 
 
-@query()
+_RING = "'[[[' || {e} || ',' || {n} || '],[' || {e} || ',' || {s} || '],[' || {w} || ',' || {s} || '],[' || {w} || ',' || {n} || '],[' || {e} || ',' || {n} || ']]]'"
+_FEATURE = "'{{\"type\":\"Feature\",\"properties\":{{\"id\":\"' || {id} || '\"{style}}},\"geometry\":{{\"type\":\"Polygon\",\"coordinates\":' || {ring} || '}}}}'"
+
+
+@query(
+    duck(
+        "scenes",
+        "aoi",
+        ctes=_PAIRS,
+        select="SELECT aoi_id, '{\"type\":\"FeatureCollection\",\"features\":[' || any_value("
+        + _FEATURE.format(id="aoi_id", style=',\"stroke\":\"red\"', ring=_RING.format(w="aw", s="asouth", e="ae", n="an"))
+        + ") || ',' || string_agg("
+        + _FEATURE.format(id="scene_id", style="", ring=_RING.format(w="west", s="south", e="east", n="north"))
+        + ", ',' ORDER BY scene_id) || ']}' AS geojson FROM pairs GROUP BY aoi_id",
+    )
+)
 def geojson_collection(spark, sf_dir):
     return scenes.geojson(_pairs(spark, sf_dir))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import fixture, images, table
 from ..functions import pixels as px
-from ..operators import tensors
+from ..operators import payloads, tensors
 from .tile_queries import duck, query
 
 _NOISE = "(sample * 7919 + patch * 104729 + 12345) % 1000003"
@@ -215,6 +215,20 @@ def contrastive_loss(spark, sf_dir):
     return tensors.contrastive_loss(_logits(spark, sf_dir)).select("batch", _r("loss"))
 
 
+_OWN = _LOGITS.replace("WHERE a.side = 0 AND b.side = 1", "WHERE a.side = 1 AND b.side = 1").split("logits AS (", 1)[1]
+
+
+@query(
+    f"WITH {_LOGITS}, own AS ({_OWN}, ri AS (SELECT batch, i AS k, ln(sum(exp(logit))) AS l FROM logits GROUP BY batch, i), rj AS (SELECT batch, j AS k, ln(sum(exp(logit))) AS l FROM logits GROUP BY batch, j), "
+    "ro AS (SELECT batch, i AS k, ln(sum(exp(logit))) AS l FROM own GROUP BY batch, i), d AS (SELECT batch, i AS k, logit FROM logits WHERE i = j), o AS (SELECT batch, i AS k, logit FROM own WHERE i = j) "
+    "SELECT CAST(batch AS BIGINT) AS batch, round((avg(ri.l - d.logit) + avg(rj.l - d.logit) + avg(ro.l - o.logit)) / 3, 6) AS loss FROM d JOIN ri USING (batch, k) JOIN rj USING (batch, k) JOIN ro USING (batch, k) JOIN o USING (batch, k) GROUP BY batch"
+)
+def contrastive_three(spark, sf_dir):
+    wide = F.slice(F.col("embedding").cast("array<double>"), 33, 32)
+    third = tensors.logits(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), wide.alias("a"), wide.alias("b")))
+    return tensors.contrastive_three(_logits(spark, sf_dir), third).select("batch", _r("loss"))
+
+
 @query(
     duck(
         "patches",
@@ -240,11 +254,10 @@ def _by_image(df: DataFrame, make, kind: str, arrow: pa.DataType) -> DataFrame:
     return df.select("tile", "data").mapInArrow(run, f"tile long, made {kind}")
 
 
-@query(duck("pixels", select="SELECT DISTINCT tile, TRUE AS same FROM pixels"))
+@query(duck("pixels", select="SELECT tile, row, col, ch, value FROM pixels"))
 def png_roundtrip(spark, sf_dir):
-    from ..functions.codec import decode_png, encode_png
-
-    return _by_image(images(spark, sf_dir), lambda x: bool((decode_png(encode_png(x)) == x).all()), "boolean", pa.bool_()).withColumnRenamed("made", "same")
+    rows = payloads.encode_images(images(spark, sf_dir).select("tile", "data"), 4, 4, 4)
+    return payloads.pixels(payloads.decode_images(rows))
 
 
 @query(_flat(where="row % 2 = 1 AND col % 2 = 1", index="row // 2 * 8 + col // 2 * 4 + ch"))

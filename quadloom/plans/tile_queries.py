@@ -218,7 +218,7 @@ def union_dataset(spark, sf_dir):
 
 
 @query(duck("tiles_z7", select="SELECT 6 AS z, CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, count(*) AS n_children FROM tiles_z7 GROUP BY x // 2, y // 2 HAVING count(*) = 4"))
-def stitch_4x(spark, sf_dir):
+def complete_parents(spark, sf_dir):
     return align.complete_parents(fixture(spark, sf_dir, "tiles_z7"))
 
 
@@ -280,7 +280,7 @@ def overlay_fold(spark, sf_dir):
 
 
 @query(duck_ids("SELECT tile_id, n AS n_sources, CASE WHEN n > 1 THEN 'merge' ELSE 'copy' END AS action, sources FROM held", _HELD))
-def merge_tilesets(spark, sf_dir):
+def merge_plan(spark, sf_dir):
     plan = archives.merge_schedule(tiles(spark, sf_dir))
     n = F.size("sources").cast("long")
     return plan.select("tile_id", n.alias("n_sources"), F.when(n > 1, "merge").otherwise("copy").alias("action"), F.array_join("sources", ",").alias("sources"))
@@ -290,7 +290,7 @@ _PLACED = "p AS (SELECT CAST(5 AS INT) AS z, CAST(tile % 32 AS INT) AS x, CAST(t
 
 
 @query(duck("pixels", ctes=_PLACED, select="SELECT 4 AS z, CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, CAST(r AS INT) AS row, CAST(c AS INT) AS col, ch, value FROM p, range(4) a(r), range(4) b(c) WHERE y % 2 = (2 * r + 1) // 4 AND x % 2 = (2 * c + 1) // 4 AND row = (2 * r + 1) % 4 AND col = (2 * c + 1) % 4"))
-def downsample_level(spark, sf_dir):
+def downsample_pixels(spark, sf_dir):
     p = fixture(spark, sf_dir, "pixels").selectExpr("5 AS z", "CAST(tile % 32 AS INT) AS x", "CAST(tile DIV 32 AS INT) AS y", "row", "col", "ch", "value")
     return pyramid.downsample_pixels(p, 4)
 

@@ -140,3 +140,16 @@ def test_stream(spark, tmp_path, sf_dir):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n_tiles) FROM arrivals").first()[0] == source.count()
+
+
+def test_ranks_of_far_keys(spark):
+    """Keys of the deepest zoom neither overflow nor collide, and sparse ones are ranked level by level."""
+    from quadloom.operators import shards
+
+    keys = [(4**26 - 1) // 3 + 7 * i for i in range(50)] + [5, 4**20, (1 << 62) + 3]
+    df = spark.createDataFrame([(k,) for k in keys], "tile_id long")
+    assert {r.tile_id: r.ordinal for r in archives.ordinal(df, "tile_id").collect()} == {k: i for i, k in enumerate(sorted(keys))}
+    order = sorted(keys, key=lambda k: ((k * 7919 + 2 * 104729) % 1000003, k))
+    got = {r.ordinal: r.tile_id for r in shards.rank_shard(df, "tile_id", 4, epoch=2).collect()}
+    assert [got[i] for i in range(len(keys))] == order and [got[len(keys) + i] for i in range(-len(keys) % 4)] == order[: -len(keys) % 4]
+    assert archives.ordinal(df.limit(0), "tile_id").count() == 0

@@ -153,3 +153,51 @@ def test_losses():
     restore = np.array([[2, 0, 1]])
     assert nn.restore(np.array([[[5.0]]]), np.array([0.0]), restore)[0, :, 0].tolist() == [0.0, 5.0, 0.0]
     assert nn.gelu(np.array([0.0, 1.0]))[1] == pytest.approx(0.5 * (1 + math.erf(1 / math.sqrt(2))), abs=1e-6)
+
+
+def test_resampling_filters():
+    """Flat images stay flat under each filter, and halving keeps the mean of smooth ones."""
+    rng = np.random.default_rng(1)
+    ramp = np.add.outer(np.arange(16), np.arange(16))[..., None].astype(float) * 7
+    for how in codec.FILTERS:
+        flat = np.full((8, 8, 3), 77, np.uint8)
+        assert (codec.resize(flat, 5, 3, how) == 77).all()
+        assert abs(codec.resize(ramp, 8, 8, how).mean() - ramp.mean()) < 1
+        noisy = rng.integers(0, 256, (8, 8, 1)).astype(np.uint8)
+        if how != "box":
+            assert (codec.resize(noisy, 8, 8, how) == noisy).all(), how
+
+
+def test_forward_of_three_modalities():
+    rng = np.random.default_rng(2)
+    dim, heads, patch, b = 16, 4, 2, 3
+    w = {k: nn.init_vit(c, patch, dim, 1, seed) for seed, (k, c) in enumerate((("radar", 2), ("lores", 3), ("hires", 3)))}
+    w |= {"cross": nn.init_vit(1, 1, dim, 1, 5, cross=True), "decoder": nn.init_decoder(dim, 8, 1, 8 * patch * patch)}
+
+    def mask(n, kept, low):
+        order = rng.permutation(n)
+        pooled = np.zeros((b, low))
+        pooled[:, order[kept:] % low] = 1
+        return {"keep": order[:kept], "ids_restore": np.tile(np.argsort(order), (b, 1)), "mask": pooled}
+
+    masks = {"radar": mask(16, 9, 16), "lores": mask(16, 9, 16), "hires": mask(64, 30, 16)}
+    images = rng.random((b, 2, 8, 8)), rng.random((b, 3, 8, 8)), rng.random((b, 3, 16, 16))
+    contrast, rebuilt = nn.forward(*images, w, masks, patch, heads, 1)
+    assert np.isfinite([contrast, rebuilt]).all() and contrast > 0 and rebuilt > 0
+    # The order of a batch changes neither loss.
+    assert np.allclose(nn.forward(*(x[::-1] for x in images), w, masks, patch, heads, 1), (contrast, rebuilt))
+    kept = rng.random((b, 9, dim))
+    out = nn.decode(kept, w["decoder"], masks["radar"]["ids_restore"], heads, 1)
+    assert out.shape == (b, 16, 32)
+    bias = nn.grid_bias(4, 16)
+    assert nn.resize_bias(bias, 4, 8, 2) is bias and nn.resize_bias(bias, 4, 16, 2).shape == (4, 64, 64)
+
+
+def test_masked_losses():
+    rng = np.random.default_rng(3)
+    target, predicted = rng.random((2, 4, 8)), rng.random((2, 4, 8))
+    masks = {"a": np.array([[1, 0, 0, 1], [0, 1, 0, 0]]), "b": np.ones((2, 4))}
+    got = nn.mae_losses(target, predicted, masks, {"a": 1, "b": 3})
+    scaled = (target - target.mean(-1, keepdims=True)) / np.sqrt(target.var(-1, ddof=1, keepdims=True) + 1e-6)
+    want = sum(((predicted[i, j, :2] - scaled[i, j, :2]) ** 2).mean() for i, j in ((0, 0), (0, 3), (1, 1))) / 3
+    assert np.isclose(got["a"], want)

@@ -23,17 +23,15 @@ Which of a key's pairs are compared
 -----------------------------------
 
 Equal texts are one text throughout.  First each text of a key is compared with
-the one of the least tag (in a task, then across tasks).  What is verified makes
-regions, the stretches of a text that lie in verified passages, and regions that
-are linked, directly or over others, make one class of regions.  Where the places
-of a key lie in several classes, a text of each is compared with one of the
-largest (``ROUNDS`` times).  Then all pairs of texts of a key are compared whose
-texts aren't connected by then, whatever their number, dealt in pairs of blocks
-over all tasks.  So no two texts that share a key and a similar passage are left
-in different classes, and a group of thousands of copies costs a few comparisons
-a copy.  What remains quadratic are texts that share keys and are in no way
-connected.  Within a class not every pair is compared, so the passages found are
-those that connect it, and those that texts share with a representative.
+the one of the least tag (in a task, then across tasks).  Texts that verified
+passages connect, directly or over others, make one class.  Where the texts of a
+key are of several classes, one of each is compared with one of the largest
+(``ROUNDS`` times).  Then all pairs of texts of different classes are compared that
+have enough shingles in common around the key's place, whatever their number.
+So no two texts that share a key and a similar passage are left in different
+classes, and a group of thousands of copies costs a few comparisons a copy.
+Within a class not every pair is compared, so the passages found are those that
+connect it, and those that texts share with the first one of a key.
 """
 
 from __future__ import annotations
@@ -61,7 +59,7 @@ RUN = 32
 REACH_BITS = 6
 #: Of equal neighbouring shingles one in so many is kept: 2**REACH_BITS - THIN shingles hold a passage.
 THIN = 16
-#: Rounds in which classes of a key are compared by representatives before all pairs are.
+#: Rounds in which one text of each class of a key is compared before all pairs are.
 ROUNDS = 1
 #: Texts of one key in a block.
 BLOCK = 512
@@ -421,17 +419,20 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(y).view(np.int64)) for y in (part[:, 0], part[:, 1], _around(part[:, 2])[1], part[:, 2])], ["key", "tag", "at", "place"])
 
 
-def _chosen(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, at, b, at) by a bucket of the two."""
+def _one_of_each(batches: Iterator[pa.RecordBatch], turn: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A text of each class of each key of a task, with how many the class has."""
     held, n = [], 0
 
     def send():
-        pairs = _merged(np.concatenate(held))
-        yield from _dealt(1, pairs, _of(pairs[:, 0] + mix(pairs[:, 1]), buckets), buckets)
+        rows = np.concatenate(held)
+        order = mix(rows[:, 2] + np.uint64(turn))
+        rows = rows[np.lexsort((order, rows[:, 1], rows[:, 0]))]
+        new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        rows = np.column_stack([rows[new], np.add.reduceat(np.ones(len(rows), np.uint64), np.flatnonzero(new))])
+        yield from _dealt(0, rows, (rows[:, 0] % np.uint64(buckets)).astype(np.int64), buckets)
 
-    for batch in batches:
-        x = [batch.column(k).to_numpy().view(np.uint64) for k in range(4)]
-        held.append(_pairs_of(x[0], x[1], x[2], x[3]))
+    for b in batches:
+        held.append(np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("key", "label", "tag", "place")], axis=1))
         n += len(held[-1])
         if n >= GATHER:
             yield from send()
@@ -440,8 +441,30 @@ def _chosen(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         yield from send()
 
 
+def _with_largest(batches: Iterator[pa.RecordBatch], turn: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a text of each class of a key with one of its largest class."""
+    rows = _read(batches, 5)
+    if not len(rows):
+        return
+    order = mix(rows[:, 2] + np.uint64(turn))
+    rows = rows[np.lexsort((order, rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+    total = np.add.reduceat(rows[:, 4], first)
+    rows = rows[first]
+    rows[:, 4] = total
+    rows = rows[np.lexsort((rows[:, 1], np.iinfo(np.uint64).max - rows[:, 4], rows[:, 0]))]
+    edge = runs(rows[:, 0])
+    top = np.repeat(edge[:-1], np.diff(edge))
+    at = np.flatnonzero(top != np.arange(len(rows)))
+    x, y = rows[top[at]], rows[at]
+    swap = x[:, 2] > y[:, 2]
+    a, b = np.where(swap[:, None], y, x), np.where(swap[:, None], x, y)
+    pairs = _pairs_of(a[:, 2], b[:, 2], a[:, 3], b[:, 3])
+    yield from _dealt(1, pairs, _of(pairs[:, 0] + mix(pairs[:, 1]), buckets), buckets)
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their keys to a row for each: the hashes of the different shingles within NEAR of its place."""
+    """Texts with their keys to a row for each: the hashes of the shingles within NEAR of its place."""
     names = ["key", "place", "label", "texts"]
     for batch in batches:
         for part in blocks(batch, 1, BLOCK_BYTES):
@@ -455,29 +478,40 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = hashes[first[r] : first[r] + max(0, int(count[r]) - SHINGLE + 1)]
                 for lo in range(int(edge[r]), int(edge[r + 1]), 4096):
                     some = slice(lo, min(lo + 4096, int(edge[r + 1])))
-                    at, which = np.unique(cols["place"][some] >> 24, return_inverse=True)
-                    sets = [np.unique(own[max(0, x - NEAR) : x + NEAR + 1]) for x in at.tolist()]
-                    near = [sets[k] for k in which.tolist()]
-                    offsets = np.cumsum([0] + [len(x) for x in near]).astype(np.int32)
+                    where = (cols["place"][some] >> 24)[:, None] + np.arange(-NEAR, NEAR + 1)
+                    there = (where >= 0) & (where < len(own))
+                    raw = own[where[there]].tobytes()
+                    ends = np.cumsum(there.sum(axis=1) * 4).tolist()
                     made = [pa.array(cols[c][some]) for c in names]
-                    made.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(near))))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), tag[r])), *made], ["tag", *names, "near"])
+                    made.append(pa.array([raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), tag[r])), *made], ["tag", *names, "near"])
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each of the different hashes around a place."""
+    names = ["key", "tag", "place", "label"]
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            sets = [np.unique(np.frombuffer(x, np.int32)) for x in part.column("near").to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([part.column(c).take(row) for c in names] + [pa.array(np.concatenate(sets))], [*names, "shingle"])
 
 
 def _common(near: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many hashes each row of ``left`` has in common with each of ``right``."""
     size = np.array([len(x) for x in near])
-    codes, owner = np.concatenate(near), np.repeat(np.arange(len(near)), size)
-    order = np.argsort(codes, kind="stable")
-    codes, owner = codes[order], owner[order]
+    both = np.unique((np.concatenate(near).view(np.uint32).astype(np.int64) << 31) | np.repeat(np.arange(len(near)), size))
+    codes, owner = both >> 31, both & ((1 << 31) - 1)
     edge = runs(codes)
     many = np.repeat(np.diff(edge) > 1, np.diff(edge))
-    place = np.cumsum(np.concatenate([[0], codes[1:] != codes[:-1]]))[many]
-    _, place = np.unique(place, return_inverse=True)
+    codes = codes[many]
+    place = np.cumsum(np.concatenate([np.zeros(min(1, len(codes)), np.int64), codes[1:] != codes[:-1]]))
     owner, total = owner[many], np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int(place.max()) + 1 if len(place) else 0, 4096):
+    n = int(place.max()) + 1 if len(place) else 0
+    for lo in range(0, n, 4096):
         own = (place >= lo) & (place < lo + 4096)
-        table = np.zeros((len(near), 4096), np.float32)
+        table = np.zeros((len(near), min(4096, n - lo)), np.float32)
         table[owner[own], place[own] - lo] = 1
         total += table[left] @ table[right].T
     return total
@@ -491,7 +525,7 @@ def _cross(batches: Iterator[pa.RecordBatch], least: int, similar: float, bucket
     parts, near = [], []
     for b in batches:
         parts.append(np.stack([b.column(c).to_numpy().astype(np.int64) for c in columns], axis=1))
-        near += [x.values.to_numpy() if x.is_valid else None for x in b.column("near")]
+        near += [None if x is None else np.frombuffer(x, np.int32) for x in b.column("near").to_pylist()]
     rows = np.concatenate(parts)
     order = np.lexsort((rows[:, 1], rows[:, 0]))
     rows, near = rows[order], [near[k] for k in order.tolist()]
@@ -551,33 +585,68 @@ def _follow(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: in
 
 def passages(a: np.ndarray, b: np.ndarray, least: int, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """(a_from, a_to, b_from, b_to, similarity) of similar passages; ends are the last shingles."""
-    place = np.argsort(b, kind="stable")
-    values = b[place]
-    at = np.minimum(np.searchsorted(values, a), len(values) - 1)
-    i = np.flatnonzero(values[at] == a)
+    return all_passages([(a, b)], least, similar)[0]
+
+
+def all_passages(pairs: list[tuple[np.ndarray, np.ndarray]], least: int, similar: float = SIMILAR) -> list[list[tuple[int, int, int, int, float]]]:
+    """``passages`` of each pair; the shingles that two have in common are found for all at once."""
+    edges = [np.cumsum([0] + [len(p[k]) for p in pairs]) for k in (0, 1)]
+    own = [mix(np.concatenate([p[k] for p in pairs]) + np.repeat(mix(np.arange(len(pairs)).astype(np.uint64)), np.diff(edges[k]))) for k in (0, 1)]
+    place = np.argsort(own[1], kind="stable")
+    values = own[1][place]
+    if not len(values):
+        return [[] for _ in pairs]
+    at = np.minimum(np.searchsorted(values, own[0]), len(values) - 1)
+    i = np.flatnonzero(values[at] == own[0])
     at = at[i]
     j = place[at]
+    again = np.zeros(len(at), bool)  # has another place in the second text
+    inner = at < len(values) - 1
+    again[inner] = values[at[inner] + 1] == values[at[inner]]
+    cut = np.searchsorted(i, edges[0])
+    # Whether a text has a shingle twice, by row.
+    twice = np.zeros(len(pairs), bool)
+    for k in (0, 1):
+        order = np.argsort(own[k], kind="stable") if k == 0 else place
+        same = own[k][order][1:] == own[k][order][:-1]
+        twice[np.searchsorted(edges[k], order[1:][same], "right") - 1] = True
+    common = int(np.ceil(2 * least * similar / (1 + similar) - 1e-9))
+    out: list[list] = []
+    for r, (a, b) in enumerate(pairs):
+        lo, hi = cut[r], cut[r + 1]
+        if hi - lo < common:  # two similar passages have so many in common
+            out.append([])
+            continue
+        out.append(_aligned(a, b, i[lo:hi] - edges[0][r], j[lo:hi] - edges[1][r], bool(again[lo:hi].any()), bool(twice[r]), least, similar, common))
+    return out
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, again: bool, twice: bool, least: int, similar: float, common: int) -> list[tuple[int, int, int, int, float]]:
+    """Similar passages of ``a`` and ``b``, whose shingles ``i`` and ``j`` are the same."""
     out, todo = [], [(i, j)]
-    if (values[np.minimum(at + 1, len(b) - 1)] == values[at])[at < len(b) - 1].any():  # shingles that repeat have no one place
+    if again:  # shingles that repeat have no one place
         up = _follow(a, b, i, j, 1)
         todo = [(i, up), (i, _follow(a, b, i, up, -1)), (i, _follow(a, b, i, _follow(a, b, i, j, -1), 1))]
     while todo:
         i, j = todo.pop()
-        if len(i) < similar * least / 2:
+        if len(i) < common:
             continue
         step = np.maximum(np.diff(i), np.abs(np.diff(j)))
         wide = np.flatnonzero(step > GAP)
         if len(wide):
             todo += list(zip(np.split(i, wide + 1), np.split(j, wide + 1), strict=True))
             continue
-        span = i[0], i[-1], j.min(), j.max()
+        span = int(i[0]), int(i[-1]), int(j.min()), int(j.max())
         if min(span[1] - span[0], span[3] - span[2]) + 1 < least:
             continue
-        x, y = set(a[span[0] : span[1] + 1].tolist()), set(b[span[2] : span[3] + 1].tolist())
-        both = len(x & y)
-        ratio = both / (len(x) + len(y) - both)
+        if twice:
+            x, y = set(a[span[0] : span[1] + 1].tolist()), set(b[span[2] : span[3] + 1].tolist())
+            both, size = len(x & y), len(x) + len(y)
+        else:
+            both, size = len(i), span[1] - span[0] + span[3] - span[2] + 2
+        ratio = both / (size - both)
         if ratio >= similar:
-            out.append((*map(int, span), ratio))
+            out.append((*span, ratio))
         elif len(i) > 2 and step.max() > 1:
             cut = int(step.argmax()) + 1
             todo += [(i[:cut], j[:cut]), (i[cut:], j[cut:])]
@@ -604,19 +673,28 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch], least: int, similar: float) -> Iterator[pa.RecordBatch]:
     """Both slices of each pair, of a bucket, compared."""
-    held: dict[tuple, tuple] = {}
-    rows = []
+    held: dict[tuple, bytes] = {}
+    keys, pairs, size, rows = [], [], 0, []
+
+    def compare():
+        for (one, two, a, b), found in zip(keys, all_passages(pairs, least, similar), strict=True):
+            rows.extend((one, two, p[0] + a, p[1] + a + SHINGLE, p[2] + b, p[3] + b + SHINGLE, p[4]) for p in found)
+
     for batch in batches:
-        for key_a, key_b, a_from, b_from, side, lo, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_from", "b_from", "side", "lo", "slice")), strict=True):
-            pair = key_a, key_b, a_from, b_from
+        for one, two, a_from, b_from, side, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_from", "b_from", "side", "slice")), strict=True):
+            pair = one, two, a_from, b_from
             other = held.pop(pair, None)
             if other is None:
                 held[pair] = blob
                 continue
-            one, two = (other, blob) if side else (blob, other)
-            a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-            for p in passages(a, b, least, similar) if len(a) and len(b) else ():
-                rows.append((key_a, key_b, p[0] + a_from, p[1] + a_from + SHINGLE, p[2] + b_from, p[3] + b_from + SHINGLE, p[4]))
+            keys.append(pair)
+            pairs.append(tuple(np.frombuffer(x, np.uint64) for x in ((other, blob) if side else (blob, other))))
+            size += len(blob)
+            if size >= 4 << 20:
+                compare()
+                keys, pairs, size = [], [], 0
+    if pairs:
+        compare()
     if rows:
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64())], ["a", "b", "a_start", "a_end", "b_start", "b_end", "similarity"])
@@ -679,31 +757,10 @@ def _by_text(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(roots, "tag", "left").select("key", "tag", "place", F.coalesce("root", "tag").alias("label"))
 
 
-def _by_region(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with the class of the region that a key's place lies in; a text without one is its own."""
-    parts = settle(regions(links).withColumn("node", F.xxhash64("tag", "start")))
-    side = lambda s: parts.select(F.col("tag").alias(s), F.col("start").alias(f"{s}_lo"), F.col("end").alias(f"{s}_hi"), F.col("node").alias(f"{s}_node"))
-    within = lambda s: (F.col(f"{s}_start") >= F.col(f"{s}_lo")) & (F.col(f"{s}_start") < F.col(f"{s}_hi"))
-    joined = links.join(side("a"), "a").where(within("a")).join(side("b"), "b").where(within("b"))
-    roots = components(joined.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")))
-    named = parts.join(roots, "node").select(F.col("tag").alias("_tag"), "start", "end", "root")
-    met = members.join(named, (F.col("tag") == F.col("_tag")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left")
-    return met.select("key", "tag", "place", F.coalesce("root", F.xxhash64(F.lit(1), "tag")).alias("label"))
-
-
-def _split_keys(labelled: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(a text for each class of a key, the keys of several classes with their largest one)."""
-    choice = F.struct(F.xxhash64(F.lit(turn), "tag").alias("order"), "tag", "place")
-    classes = labelled.groupBy("key", "label").agg(F.min(choice).alias("one"), F.count("*").alias("n"))
-    return classes, classes.groupBy("key").agg(F.min(F.struct(-F.col("n"), "label", "one")).alias("top"), F.sum("n").alias("texts"), F.count("*").alias("classes")).where("classes > 1")
-
-
 def _by_one(labelled: DataFrame, turn: int, buckets: int) -> DataFrame:
     """Of each key, a text of each class with one of the largest."""
-    classes, split = _split_keys(labelled, turn)
-    pairs = classes.join(split, "key").where(F.col("label") != F.col("top.label")).select(F.col("one").alias("x"), F.col("top.one").alias("y")).where("x.tag <> y.tag")
-    chosen = pairs.select(F.col("x.tag").alias("a"), F.col("y.tag").alias("b"), F.col("x.place").alias("c"), F.col("y.place").alias("d"))
-    return settle(apply_groups(chosen.mapInArrow(lambda it: _chosen(it, buckets), BLOB), ["bucket"], _candidates, FOUND))
+    ones = apply_groups(labelled.mapInArrow(lambda it: _one_of_each(it, turn, buckets), BLOB), ["bucket"], lambda it: _with_largest(it, turn, buckets), BLOB)
+    return settle(apply_groups(ones, ["bucket"], _candidates, FOUND))
 
 
 def _by_all(labelled: DataFrame, texts: DataFrame, least: int, similar: float, buckets: int) -> DataFrame:
@@ -715,19 +772,19 @@ def _by_all(labelled: DataFrame, texts: DataFrame, least: int, similar: float, b
     texts.  Those that have so much that is common to very many are compared in
     pairs of blocks.
     """
-    _, split = _split_keys(labelled, ROUNDS)
+    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("texts")).where("low < high")
     asked = labelled.join(split.select("key", "texts"), "key").groupBy("tag").agg(F.collect_list(F.struct("key", "place", "label", "texts")).alias("places"))
     asked = settle(asked)
     body = _bodies(asked.select("tag"), texts)
-    made = body.join(asked, "tag").select("tag", "text", "places").mapInArrow(_near, "tag long, key long, place long, label long, texts long, near array<int>")
+    made = body.join(asked, "tag").select("tag", "text", "places").mapInArrow(_near, "tag long, key long, place long, label long, texts long, near binary")
     rows = settle(made)
     cell = ["cell", "side", "tag", "place", "label", "near"]
     cells = rows.where(F.col("texts") <= BLOCK).select(F.col("key").alias("cell"), F.lit(0).cast("long").alias("side"), *cell[2:])
     many = rows.where(F.col("texts") > BLOCK)
     if many.take(1):
-        each = many.select("key", "tag", "place", "label", F.explode("near").alias("shingle"))
+        each = many.mapInArrow(_each_shingle, "key long, tag long, place long, label long, shingle int")
         counts = settle(each.groupBy("key", "shingle").agg(F.count("*").alias("n")).where("n > 1"))
-        none = F.lit(None).cast("array<int>").alias("near")
+        none = F.lit(None).cast("binary").alias("near")
         few = each.join(counts.where(F.col("n") <= BLOCK), ["key", "shingle"])
         cells = cells.unionByName(few.select(F.xxhash64("key", "shingle").alias("cell"), F.lit(0).cast("long").alias("side"), *cell[2:5], none))
         enough = int(np.ceil(2 * least * similar / (1 + similar)))
@@ -764,7 +821,7 @@ def link_passages(texts: DataFrame, passage: int = PASSAGE, similar: float = SIM
     release(keyed, met)
     links = _compare(found, texts, least, similar)
     for turn in range(ROUNDS + 1):
-        labelled = settle((_by_region if turn < ROUNDS else _by_text)(members, links))
+        labelled = settle(_by_text(members, links))
         found = _by_one(labelled, turn, buckets) if turn < ROUNDS else _by_all(labelled, texts, least, similar, buckets)
         release(labelled)
         if found.take(1):

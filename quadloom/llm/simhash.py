@@ -3,11 +3,12 @@
 A fingerprint's 32 segments of two bits are mapped to their bit counts.  The
 Manhattan distance of two such vectors is a lower bound of the Hamming distance,
 so links lie among pairs within Manhattan distance ``DISTANCE``.  Those pairs
-are found on a grid: the dimensions are dealt into ``GROUPS`` groups, a distance
-of 4 touches at most 4 of them, so each linked pair shares the cell spanned by
-some ``GROUPS - 4`` groups.  Each distinct fingerprint is put into the cells of
-every such choice; within a cell the Manhattan bound is tested, then the exact
-distance.
+are found on a grid: the dimensions are dealt into some groups, a distance of 4
+touches at most 4 of them, so each linked pair shares the cell spanned by all but
+some 4 groups.  Each distinct fingerprint is put into the cells of every such
+choice; within a cell the Manhattan bound is tested, then the exact distance.
+More fingerprints are dealt into more groups, so that cells of fingerprints that
+have nothing to do with each other stay small.
 
 Only distinct fingerprints are joined.  A cell emits a spanning forest of its
 links, not its pairs; a cell with more than ``CELL`` fingerprints is dealt in
@@ -33,6 +34,10 @@ SEED = 42
 DISTANCE = 4
 GROUPS = 7
 CELL = 2048
+#: Bits that tell two vectors apart, of the 64: a segment has 0, 1 or 2 set, 1.5 bits.
+ENTROPY = 48
+#: Bytes of cells in a bucket.
+BUCKET = 64 << 20
 #: Cells with so many fingerprints, and with at least so large a share of all, are never gathered.
 HOT = 1 << 16
 HOT_SHARE = 1 / 4096
@@ -101,6 +106,14 @@ def cell_masks(groups: int = GROUPS, distance: int = DISTANCE) -> list[int]:
     return [sum(c) for c in combinations(masks, groups - distance)]
 
 
+def groups_for(n: int, distance: int = DISTANCE, cell: int = CELL) -> int:
+    """The fewest groups for which cells of ``n`` independent fingerprints hold an eighth of ``cell`` on average."""
+    groups = distance + 2
+    while groups < 2 * distance + 4 and n > (cell / 8) * 2 ** (ENTROPY * (groups - distance) / groups):
+        groups += 1
+    return groups
+
+
 def near(a: np.ndarray, b: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Manhattan bound first, exact distance on what is left."""
     ok = np.bitwise_count(embed(a) ^ embed(b)) <= distance
@@ -245,18 +258,19 @@ def _block_pair(rows: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, cell: int = CELL, hot: int = HOT, counted: int = COUNTED) -> DataFrame:
+def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, groups: int | None = None, cell: int = CELL, hot: int = HOT, counted: int = COUNTED) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints within ``distance``.
 
-    ``prints``: one long column of distinct values.  The links span the same
+    ``prints``: one long column of distinct values.  ``groups`` None: by their number.  The links span the same
     components as all pairs within the distance; they aren't all those pairs.
     Cells of more than ``cell`` fingerprints are dealt in blocks, those of about
     ``hot`` or more (counted ``counted`` fingerprints at a time) without being
     gathered first.
     """
     spark = prints.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
-    masks = cell_masks(groups, distance)
+    n = prints.count()
+    masks = cell_masks(groups or groups_for(n, distance, cell), distance)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-16 * len(masks) * n // BUCKET))
     skip, sizes = hot_cells(prints, masks, cell, hot, counted)
     dealt = prints.mapInArrow(lambda it: _deal(it, buckets, masks, skip), "bucket long, rows binary")
     found = settle(apply_groups(dealt, ["bucket"], lambda it: _cells(it, distance, cell), "u long, v long, blocks long, cell long"))

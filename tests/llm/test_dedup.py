@@ -92,6 +92,9 @@ def test_cells_lose_no_pair():
     y = x.copy()
     for k in range(4):
         y ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    assert [simhash.groups_for(n) for n in (0, 10**6, 10**8, 10**9, 10**10)] == [6, 6, 7, 8, 9]
+    for groups in (6, 8, 9):
+        assert np.any([(simhash.embed(x) & np.uint64(m)) == (simhash.embed(y) & np.uint64(m)) for m in simhash.cell_masks(groups)], axis=0).all()
     masks = simhash.cell_masks()
     a, b = simhash.embed(x), simhash.embed(y)
     assert np.any([(a & np.uint64(m)) == (b & np.uint64(m)) for m in masks], axis=0).all()
@@ -108,7 +111,7 @@ def test_crowded_cells(spark, hot):
         prints.add(p ^ (1 << rng.randrange(16)))
     far = (1 << 62) | (1 << 50) | (1 << 45) | (1 << 40) | (1 << 35) | (1 << 33)
     df = spark.createDataFrame([(p,) for p in prints] + [(far,)], "fingerprint long")
-    links = simhash.link_fingerprints(df, cell=40, hot=hot, counted=64).collect()
+    links = simhash.link_fingerprints(df, groups=7, cell=40, hot=hot, counted=64).collect()
     cells, blocks = simhash.hot_cells(df, simhash.cell_masks(), 40, hot, 64)
     assert (len(cells) > 0) == (hot == 100) and (blocks >= 3).all()
     assert len(groups([*prints, far], links)) == 251 and len(set(groups([*prints, far], links).values())) == 2

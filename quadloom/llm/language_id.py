@@ -106,6 +106,9 @@ def identify(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFram
     score is the mean marginal of lang_pred over the words; word_langs counts
     the words by their likeliest label.  Null texts and texts without a letter
     are `und` with score 0, and so is every text if nothing could be learned.
+    Repeated rows are labelled alike; columns of ``docs`` that are called like a
+    new one are replaced, others come along.  A long text is a block alone, some
+    30 bytes a word and label.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

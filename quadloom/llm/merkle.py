@@ -56,6 +56,8 @@ def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
     id, then digest.  Null ids, addresses and payloads are allowed; a null
     payload is an empty one.  ``copy`` maps a record's bytes to those that another
     replica holds at its place (null: nothing); they are hashed in the same pass.
+    Repeated rows are records of their own, one after the other; other columns
+    aren't read.
     """
     n = max(1, -(-pages.count() // segment))
     raw = warc_bytes(F.col(uri).cast("string"), F.col(payload))

@@ -98,7 +98,9 @@ def rate(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, window
     words, or more than ``max_repeated`` per cent of them in repeated windows.
     kept: not base_failed, at most ``max_covered`` of the words covered and no
     repeat over ``max_longest`` words.  Null and empty texts have no words and
-    fail.
+    fail.  Repeated rows are rated alike; columns of ``docs`` that are called like
+    a new one are replaced, others come along.  A long text is a block alone, some
+    100 bytes a word.
     """
     made = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long, base_failed boolean, kept boolean"
 

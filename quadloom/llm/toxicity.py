@@ -177,7 +177,9 @@ def score(docs: DataFrame, tagger: Tagger | None, text: str = "text", least: flo
 
     toxic_spans are byte ranges of the UTF-8 text with the mean marginal of
     their words.  Null and empty texts have the score of a text without toxic
-    words; without a tagger every score is 0.
+    words; without a tagger every score is 0.  Repeated rows have one score;
+    columns of ``docs`` that are called like a new one are replaced, others come
+    along.
     """
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
 

@@ -1,11 +1,11 @@
 """Quality by compression: dictionaries of good and of bad text.
 
 Two zstandard dictionaries are built from labelled text.  A text is cut into
-chunks of ``CHUNK`` bytes and each chunk is compressed with both, and without,
-so that a dictionary keeps its weight however long the text is.  The normalised
-difference of the compressed sizes, together with how far the text compresses at
-all, becomes a probability by a logistic calibration on labelled rows that the
-dictionaries haven't seen.
+chunks of ``CHUNK`` bytes and each chunk is compressed with both, so that a
+dictionary keeps its weight however long the text is.  The normalised difference
+of the compressed sizes, and the size with the good dictionary normalised by the
+text's length (runs of one word are small with either), become a probability by a
+logistic calibration on labelled rows that the dictionaries haven't seen.
 
 Fitted on the driver from a bounded sample: at most ``PER_CLASS`` rows of each
 label and ``FIT_CHARS`` characters a row.
@@ -42,7 +42,7 @@ class Judge:
 
 
 class Sizer:
-    """Compressed sizes of a text's chunks: with the good, the bad and no dictionary."""
+    """Compressed sizes of a text's chunks with the good and the bad dictionary."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard as zs
@@ -53,22 +53,22 @@ class Sizer:
             held = zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_AUTO)
             held.precompute_compress(level=LEVEL)
             made.append(zs.ZstdCompressor(dict_data=held, level=LEVEL, **options))
-        self.compressors = [*made, zs.ZstdCompressor(level=LEVEL, **options)]
+        self.compressors = made
 
-    def __call__(self, body: bytes) -> tuple[int, int, int]:
+    def __call__(self, body: bytes) -> tuple[int, int]:
         chunks = [body[i : i + CHUNK] for i in range(0, len(body), CHUNK)]
         return tuple(sum(len(c.compress(x)) for x in chunks) for c in self.compressors)
 
 
 def measures(sizes: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Bias, normalised difference, ratio and their bends.
+    """Bias, normalised difference, normalised size and their bends.
 
     SHORT bytes are added to all sizes, so that short texts, which tell little,
-    come near the middle: an empty text has no difference and ratio 1.
+    come near the middle: an empty text has no difference and size 1.
     """
-    good, bad, plain = (sizes[:, k].astype(float) for k in range(3))
+    good, bad = (sizes[:, k].astype(float) for k in range(2))
     diff = (bad - good) / (bad + good + 2 * SHORT)
-    ratio = np.minimum((plain + SHORT) / (length + SHORT), 1)
+    ratio = np.minimum((good + SHORT) / (length + SHORT), 1)
     size = np.log(np.maximum(length, 200))
     return np.stack([np.ones(len(length)), diff, ratio, diff * np.abs(diff), ratio**2, diff * size, np.minimum(ratio, 0.25)], axis=1)
 
@@ -115,7 +115,8 @@ def score(docs: DataFrame, judge: Judge | None, text: str = "text", least: float
     """``docs`` with score, predicted (score >= ``least``) and size_difference.
 
     Null and empty texts are scored like any other, as texts without bytes;
-    without a judge every score is 0.5.
+    without a judge every score is 0.5.  Repeated rows have one score; columns
+    of ``docs`` that are called like a new one are replaced, others come along.
     """
     sent = docs.sparkSession.sparkContext.broadcast(judge)
 
@@ -129,7 +130,7 @@ def score(docs: DataFrame, judge: Judge | None, text: str = "text", least: float
                 return [pa.array(np.full(n, 0.5)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n))]
             data, off = text_bytes(column)
             raw = data.tobytes()
-            x = measures(np.array([sizer(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]).reshape(n, 3), np.diff(off))
+            x = measures(np.array([sizer(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]).reshape(n, 2), np.diff(off))
             value = 1 / (1 + np.exp(-np.clip(((x - model.mean) / model.scale) @ model.weights, -30, 30)))
             return [pa.array(value), pa.array((value >= least).astype(np.int32)), pa.array(x[:, 1])]
 

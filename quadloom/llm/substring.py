@@ -465,7 +465,7 @@ def _with_largest(batches: Iterator[pa.RecordBatch], turn: int, buckets: int) ->
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their keys to a row for each: the hashes of the shingles within NEAR of its place."""
-    names = ["key", "place", "label", "texts"]
+    names = ["key", "place", "label", "texts", "route"]
     for batch in batches:
         for part in blocks(batch, 1, BLOCK_BYTES):
             data, off = text_bytes(part.column(1))
@@ -489,7 +489,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each of the different hashes around a place."""
-    names = ["key", "tag", "place", "label"]
+    names = ["key", "tag", "place", "label", "blocks"]
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
@@ -763,36 +763,54 @@ def _by_one(labelled: DataFrame, turn: int, buckets: int) -> DataFrame:
     return settle(apply_groups(ones, ["bucket"], _candidates, FOUND))
 
 
+def _routes(labelled: DataFrame) -> DataFrame:
+    """``labelled`` of the keys of several classes with texts (how many the key has) and route.
+
+    0: the key's texts fit one cell.  1, 2: those outside its largest class do;
+    1 is a text of that class, 2 another one.  3: neither.
+    """
+    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("texts")).where("low < high")
+    split = settle(split.select("key", "texts"))
+    large = labelled.join(split.where(F.col("texts") > BLOCK).select("key"), "key", "left_semi").groupBy("key", "label").agg(F.count("*").alias("n"))
+    top = large.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"))
+    met = labelled.join(split, "key").join(top, "key", "left")
+    route = F.when(F.col("texts") <= BLOCK, 0).when(F.col("texts") - F.col("top.n") > BLOCK, 3).when(F.col("label") == F.col("top.label"), 1).otherwise(2)
+    return met.select("key", "tag", "place", "label", "texts", route.cast("long").alias("route"))
+
+
 def _by_all(labelled: DataFrame, texts: DataFrame, least: int, similar: float, buckets: int) -> DataFrame:
     """Of each key, all pairs of texts of different classes that have enough in common around the place.
 
-    A key of more than BLOCK texts isn't gathered.  Its texts meet by each
-    shingle around the place that at most BLOCK of them have: a pair with enough
-    in common has such a one, unless what it has in common is itself in more
-    texts.  Those that have so much that is common to very many are compared in
-    pairs of blocks.
+    A key of more than BLOCK texts isn't gathered.  Where at most BLOCK are
+    outside its largest class, those go to each block of that class.  Else its
+    texts meet by each shingle around the place that at most BLOCK of them have: a
+    pair with enough in common has such a one, unless what it has in common is
+    itself in more texts.  Those that have so much that is common to very many are
+    compared in pairs of blocks.
     """
-    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("texts")).where("low < high")
-    asked = labelled.join(split.select("key", "texts"), "key").groupBy("tag").agg(F.collect_list(F.struct("key", "place", "label", "texts")).alias("places"))
-    asked = settle(asked)
+    asked = settle(_routes(labelled).groupBy("tag").agg(F.collect_list(F.struct("key", "place", "label", "texts", "route")).alias("places")))
     body = _bodies(asked.select("tag"), texts)
-    made = body.join(asked, "tag").select("tag", "text", "places").mapInArrow(_near, "tag long, key long, place long, label long, texts long, near binary")
-    rows = settle(made)
-    cell = ["cell", "side", "tag", "place", "label", "near"]
-    cells = rows.where(F.col("texts") <= BLOCK).select(F.col("key").alias("cell"), F.lit(0).cast("long").alias("side"), *cell[2:])
-    many = rows.where(F.col("texts") > BLOCK)
+    made = body.join(asked, "tag").select("tag", "text", "places").mapInArrow(_near, "tag long, key long, place long, label long, texts long, route long, near binary")
+    rows = settle(made.withColumn("blocks", F.ceil(F.col("texts") / BLOCK)))
+    zero, one, rest = F.lit(0).cast("long").alias("side"), F.lit(1).cast("long").alias("side"), ["tag", "place", "label", "near"]
+    own = F.pmod(F.xxhash64("tag"), "blocks")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    cells = rows.where("route = 0").select(F.col("key").alias("cell"), zero, *rest)
+    cells = cells.unionByName(rows.where("route = 1").select(F.xxhash64("key", own).alias("cell"), zero, *rest))
+    cells = cells.unionByName(rows.where("route = 2").select("key", *rest, every).select(F.xxhash64("key", "block").alias("cell"), one, *rest))
+    cells = cells.unionByName(rows.where("route = 2").select(F.xxhash64("key", F.lit(-1).cast("long")).alias("cell"), zero, *rest))
+    many = rows.where("route = 3")
     if many.take(1):
-        each = many.mapInArrow(_each_shingle, "key long, tag long, place long, label long, shingle int")
+        each = many.mapInArrow(_each_shingle, "key long, tag long, place long, label long, blocks long, shingle int")
         counts = settle(each.groupBy("key", "shingle").agg(F.count("*").alias("n")).where("n > 1"))
         none = F.lit(None).cast("binary").alias("near")
         few = each.join(counts.where(F.col("n") <= BLOCK), ["key", "shingle"])
-        cells = cells.unionByName(few.select(F.xxhash64("key", "shingle").alias("cell"), F.lit(0).cast("long").alias("side"), *cell[2:5], none))
+        cells = cells.unionByName(few.select(F.xxhash64("key", "shingle").alias("cell"), zero, *rest[:3], none))
         enough = int(np.ceil(2 * least * similar / (1 + similar)))
-        full = each.join(counts.where(F.col("n") > BLOCK), ["key", "shingle"]).groupBy("key", "tag", "place", "label").agg(F.count("*").alias("m")).where(F.col("m") >= enough)
-        full = full.join(split.select("key", F.ceil(F.col("texts") / BLOCK).alias("blocks")), "key")
-        full = full.withColumn("own", F.pmod(F.xxhash64("tag"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        low, high = F.least("own", "other"), F.greatest("own", "other")
-        cells = cells.unionByName(full.select(F.xxhash64("key", low, high).alias("cell"), ((low != high) & (F.col("own") == high)).cast("long").alias("side"), *cell[2:5], none))
+        full = each.join(counts.where(F.col("n") > BLOCK), ["key", "shingle"]).groupBy("key", "tag", "place", "label", "blocks").agg(F.count("*").alias("m")).where(F.col("m") >= enough)
+        full = full.withColumn("own", own).select("key", *rest[:3], "own", every)
+        low, high = F.least("own", "block"), F.greatest("own", "block")
+        cells = cells.unionByName(full.select(F.xxhash64("key", low, high).alias("cell"), ((low != high) & (F.col("own") == high)).cast("long").alias("side"), *rest[:3], none))
     n = rows.count()
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(max(buckets, -(-n // CROSSED)))))
     dealt = apply_groups(cells, ["bucket"], lambda it: _cross(it, least, similar, buckets), BLOB)

@@ -25,9 +25,10 @@ Which of a key's pairs are compared
 Equal texts are one text throughout.  First each text of a key is compared with
 the one of the least tag (in a task, then across tasks).  Texts that verified
 passages connect, directly or over others, make one class.  Where the texts of a
-key are of several classes, one of each is compared with one of the largest
-(``ROUNDS`` times).  Then all pairs of texts of different classes are compared that
-have enough shingles in common around the key's place, whatever their number.
+key are of several classes, the shingles around the key's place meet in cells, and
+all pairs of texts of different classes are compared there, but for those that
+have too few in common, or that pairs of the cell have connected by then; texts
+with the same shingles around the place are compared once.
 So no two texts that share a key and a similar passage are left in different
 classes, and a group of thousands of copies costs a few comparisons a copy.
 Within a class not every pair is compared, so the passages found are those that
@@ -59,12 +60,12 @@ RUN = 32
 REACH_BITS = 6
 #: Of equal neighbouring shingles one in so many is kept: 2**REACH_BITS - THIN shingles hold a passage.
 THIN = 16
-#: Rounds in which one text of each class of a key is compared before all pairs are.
-ROUNDS = 1
 #: Texts of one key in a block.
 BLOCK = 512
-#: Shingles to each side of a place of a key, within which a passage of PASSAGE words around it lies.
-NEAR = 60
+#: Blocks of a key beyond which its texts meet by shingle, and not in pairs of blocks.
+CROWDED = 32
+#: Most pairs of a cell that are compared before those are left out that they connect.
+WAVE = 2048
 #: Ranges asked of a text at once, and pairs that a bucket compares.
 ASKED, COMPARED = 2000, 20_000
 #: Rows of keys in a bucket.
@@ -419,52 +420,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(y).view(np.int64)) for y in (part[:, 0], part[:, 1], _around(part[:, 2])[1], part[:, 2])], ["key", "tag", "at", "place"])
 
 
-def _one_of_each(batches: Iterator[pa.RecordBatch], turn: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A text of each class of each key of a task, with how many the class has."""
-    held, n = [], 0
-
-    def send():
-        rows = np.concatenate(held)
-        order = mix(rows[:, 2] + np.uint64(turn))
-        rows = rows[np.lexsort((order, rows[:, 1], rows[:, 0]))]
-        new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
-        rows = np.column_stack([rows[new], np.add.reduceat(np.ones(len(rows), np.uint64), np.flatnonzero(new))])
-        yield from _dealt(0, rows, (rows[:, 0] % np.uint64(buckets)).astype(np.int64), buckets)
-
-    for b in batches:
-        held.append(np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("key", "label", "tag", "place")], axis=1))
-        n += len(held[-1])
-        if n >= GATHER:
-            yield from send()
-            held, n = [], 0
-    if n:
-        yield from send()
-
-
-def _with_largest(batches: Iterator[pa.RecordBatch], turn: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a text of each class of a key with one of its largest class."""
-    rows = _read(batches, 5)
-    if not len(rows):
-        return
-    order = mix(rows[:, 2] + np.uint64(turn))
-    rows = rows[np.lexsort((order, rows[:, 1], rows[:, 0]))]
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
-    total = np.add.reduceat(rows[:, 4], first)
-    rows = rows[first]
-    rows[:, 4] = total
-    rows = rows[np.lexsort((rows[:, 1], np.iinfo(np.uint64).max - rows[:, 4], rows[:, 0]))]
-    edge = runs(rows[:, 0])
-    top = np.repeat(edge[:-1], np.diff(edge))
-    at = np.flatnonzero(top != np.arange(len(rows)))
-    x, y = rows[top[at]], rows[at]
-    swap = x[:, 2] > y[:, 2]
-    a, b = np.where(swap[:, None], y, x), np.where(swap[:, None], x, y)
-    pairs = _pairs_of(a[:, 2], b[:, 2], a[:, 3], b[:, 3])
-    yield from _dealt(1, pairs, _of(pairs[:, 0] + mix(pairs[:, 1]), buckets), buckets)
-
-
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their keys to a row for each: the hashes of the shingles within NEAR of its place."""
+    """Texts with their keys to a row for each: 32-bit hashes of the shingles of its place's range."""
     names = ["key", "place", "label", "texts", "route"]
     for batch in batches:
         for part in blocks(batch, 1, BLOCK_BYTES):
@@ -478,13 +435,11 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = hashes[first[r] : first[r] + max(0, int(count[r]) - SHINGLE + 1)]
                 for lo in range(int(edge[r]), int(edge[r + 1]), 4096):
                     some = slice(lo, min(lo + 4096, int(edge[r + 1])))
-                    where = (cols["place"][some] >> 24)[:, None] + np.arange(-NEAR, NEAR + 1)
-                    there = (where >= 0) & (where < len(own))
-                    raw = own[where[there]].tobytes()
-                    ends = np.cumsum(there.sum(axis=1) * 4).tolist()
+                    low, _, high = _around(cols["place"][some].view(np.uint64))
+                    blobs = [own[x : y + 1].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)]
                     made = [pa.array(cols[c][some]) for c in names]
-                    made.append(pa.array([raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), tag[r])), *made], ["tag", *names, "near"])
+                    made.append(pa.array(blobs, pa.binary()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), tag[r])), *made], ["tag", *names, "near"])
 
 
 def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -517,19 +472,125 @@ def _common(near: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return total
 
 
+def _fewest(near: np.ndarray, least: int) -> int:
+    """The least number of different hashes in ``least`` neighbouring ones; 0 if there aren't so many."""
+    if len(near) < least:
+        return 0
+    order = np.argsort(near, kind="stable")
+    before = np.full(len(near), -1)
+    same = near[order[1:]] == near[order[:-1]]
+    if not same.any():
+        return least
+    before[order[1:][same]] = order[:-1][same]
+    starts = np.arange(len(near) - least + 1)
+    return int((np.lib.stride_tricks.sliding_window_view(before, least) < starts[:, None]).sum(axis=1).min())
+
+
+def _drop_apart(wanted: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], plain: np.ndarray, plain_right: np.ndarray, least: int, similar: float) -> None:
+    """Clears ``wanted`` where no stretch of both, from a common hash to another, is similar.
+
+    A stretch with m hashes in common, of the lengths x and y, is similar if
+    ``m * (1 + similar) / similar >= x + y``: the best one that ends at a place
+    follows from the least value of the places before.  Only for ranges in which no
+    hash repeats (``plain``).
+    """
+    codes, place = np.unique(np.concatenate(left + right), return_inverse=True)
+    cuts = np.cumsum([len(x) for x in left + right])[:-1]
+    coded = np.split(place, cuts)
+    table = np.full((len(right), max(len(x) for x in right)), len(codes))
+    for k, x in enumerate(coded[len(left) :]):
+        table[k, : len(x)] = x
+    at = np.full(len(codes) + 1, -1, np.int32)
+    gain = np.float32((1 + similar) / similar)
+    along = np.arange(table.shape[1], dtype=np.float32)
+    for k in np.flatnonzero(plain & wanted.any(axis=1)).tolist():
+        some = np.flatnonzero(wanted[k] & plain_right)
+        if not len(some):
+            continue
+        at[coded[k]] = np.arange(len(coded[k]))
+        where = at[table[some]]
+        at[coded[k]] = -1
+        met = where >= 0
+        value = gain * np.cumsum(met, axis=1, dtype=np.float32) - along - where
+        before = np.minimum.accumulate(np.where(met, value, np.float32(np.inf)), axis=1)
+        reach = np.where(met, value, np.float32(-np.inf))[:, least - 1 :] - before[:, : before.shape[1] - least + 1]
+        wanted[k, some] = (reach >= 2 - gain - 1e-3).any(axis=1)
+
+
+def _connect(tag: np.ndarray, label: np.ndarray, near: list[bytes], left: np.ndarray, right: np.ndarray, least: int, similar: float) -> Iterator[tuple[int, int, list]]:
+    """(row, row, passages) of similar ranges that connect the classes of a cell's rows.
+
+    Pairs of ``left`` and ``right`` are compared unless they have too few hashes in
+    common: similar passages of x and y different ones share
+    ``(x + y) * similar / (1 + similar)``.  Rows of the same range are compared
+    once, and what is connected already not at all.
+    """
+    _, root = np.unique(label, return_inverse=True)
+    names: dict[bytes, int] = {}
+    kind = np.array([names.setdefault(x, len(names)) for x in near])
+    arrays = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in names]
+    few = np.array([_fewest(x, least) for x in arrays])
+
+    def compare(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int, list]]:
+        pairs = [(arrays[kind[i]], arrays[kind[j]]) for i, j in rows]
+        for (i, j), found in zip(rows, all_passages(pairs, least, similar) if pairs else [], strict=True):
+            if found and root[i] != root[j] and tag[i] != tag[j]:
+                root[root == root[j]] = root[i]
+                yield i, j, found
+
+    order = np.lexsort((root, kind))
+    first = np.flatnonzero(np.concatenate([[True], (kind[order][1:] != kind[order][:-1])]))
+    firsts = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    some = (root[firsts] != root[order]) & (few[kind[order]] > 0)
+    # One of each other class with the first row of the same range.
+    some[1:] &= (kind[order][1:] != kind[order][:-1]) | (root[order][1:] != root[order][:-1])
+    yield from compare(list(zip(firsts[some].tolist(), order[some].tolist(), strict=True)))
+
+    def distinct(side: np.ndarray) -> np.ndarray:
+        side = side[few[kind[side]] > 0]
+        return side[np.unique(np.stack([kind[side], root[side]]), axis=1, return_index=True)[1]]
+
+    same = left is right
+    left = distinct(left)
+    right = left if same else distinct(right)
+    if not len(left) or not len(right) or (root[left[0]] == root[np.concatenate([left, right])]).all():
+        return
+    total = _common([x.astype(np.uint32) for x in arrays], kind[left], kind[right])
+    enough = np.ceil((few[kind[left], None] + few[None, kind[right]]) * (similar / (1 + similar)) - 1e-9)
+    wanted = (total >= np.maximum(enough, 1)) & (root[left, None] != root[None, right])
+    if same:
+        wanted = np.triu(wanted, 1)
+    _drop_apart(wanted, [arrays[k] for k in kind[left]], [arrays[k] for k in kind[right]], few[kind[left]] == least, few[kind[right]] == least, least, similar)
+    i, j = np.nonzero(wanted)
+    likely = np.argsort(-total[i, j], kind="stable")
+    i, j = left[i[likely]], right[j[likely]]
+    take = 1
+    while len(i):
+        # Of each two classes the likeliest pairs first, then twice as many.
+        pair = np.minimum(root[i], root[j]) * len(root) + np.maximum(root[i], root[j])
+        order = np.argsort(pair, kind="stable")
+        edge = runs(pair[order])
+        rank = np.empty(len(i), np.int64)
+        rank[order] = np.arange(len(i)) - np.repeat(edge[:-1], np.diff(edge))
+        now = np.flatnonzero(rank < take)[:WAVE]
+        yield from compare(list(zip(i[now].tolist(), j[now].tolist(), strict=True)))
+        rest = root[i] != root[j]
+        rest[now] = False
+        i, j, take = i[rest], j[rest], 2 * take
+
+
 def _cross(batches: Iterator[pa.RecordBatch], least: int, similar: float, buckets: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of texts of different classes of two blocks, or of one, of a cell, but for those that
-    have too little in common around the place: two passages of ``least`` shingles that are similar
-    share ``2 * least * similar / (1 + similar)``."""
+    """Of two blocks, or of one, of a cell the pairs of texts that connect classes, with their ranges
+    (kind 1) and passages (kind 2); where no hashes are given, all pairs of texts of different
+    classes (kind 1)."""
     columns = ["cell", "side", "tag", "place", "label"]
     parts, near = [], []
     for b in batches:
         parts.append(np.stack([b.column(c).to_numpy().astype(np.int64) for c in columns], axis=1))
-        near += [None if x is None else np.frombuffer(x, np.int32) for x in b.column("near").to_pylist()]
+        near += b.column("near").to_pylist()
     rows = np.concatenate(parts)
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
     rows, near = rows[order], [near[k] for k in order.tolist()]
-    least = int(np.ceil(2 * least * similar / (1 + similar)))
     held, n = [], 0
 
     def send():
@@ -540,17 +601,28 @@ def _cross(batches: Iterator[pa.RecordBatch], least: int, similar: float, bucket
         cut = lo + int(np.searchsorted(rows[lo:hi, 1], 1))
         left = np.arange(lo, cut)
         right = left if cut == hi else np.arange(cut, hi)
-        wanted = rows[left, None, 4] != rows[None, right, 4]
-        if near[lo] is not None and wanted.any():
-            wanted &= _common(near[lo:hi], left - lo, right - lo) >= least
-        i, j = np.nonzero(wanted)
-        a, b = rows[left[i]], rows[right[j]]
-        swap = a[:, 2].view(np.uint64) > b[:, 2].view(np.uint64) if len(a) else np.zeros(0, bool)
-        if left is right:
-            a, b = a[~swap], b[~swap]
+        if near[lo] is not None:
+            seen, i, j, side = [], [], [], left - lo
+            own = rows[lo:hi].view(np.uint64)
+            starts = _around(own[:, 3])[0].tolist()
+            for x, y, found in _connect(own[:, 2], own[:, 4], near[lo:hi], side, side if right is left else right - lo, least, similar):
+                i.append(lo + x)
+                j.append(lo + y)
+                for p in found:
+                    at = (starts[x] + p[0], starts[x] + p[1] + SHINGLE), (starts[y] + p[2], starts[y] + p[3] + SHINGLE)
+                    one, two = (x, y) if own[x, 2] < own[y, 2] else (y, x)
+                    seen.append([own[one, 2], own[two, 2], *at[one != x], *at[one == x], np.float64(p[4]).view(np.uint64)])
+            if seen:
+                yield from _dealt(2, np.array(seen, np.uint64), np.zeros(len(seen), np.int64), 1)
+            i, j = np.array(i, np.int64), np.array(j, np.int64)
         else:
-            a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-        a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+            i, j = np.nonzero(rows[left, None, 4] != rows[None, right, 4])
+            i, j = left[i], right[j]
+            if left is right:
+                i, j = i[i < j], j[i < j]
+        a, b = rows[i], rows[j]
+        swap = (a[:, 2].copy().view(np.uint64) > b[:, 2].copy().view(np.uint64))[:, None]
+        a, b = np.where(swap, b, a).view(np.uint64), np.where(swap, a, b).view(np.uint64)
         ok = a[:, 2] != b[:, 2]
         held.append(_pairs_of(a[ok, 2], b[ok, 2], a[ok, 3], b[ok, 3]))
         n += len(held[-1])
@@ -561,6 +633,13 @@ def _cross(batches: Iterator[pa.RecordBatch], least: int, similar: float, bucket
         yield from send()
 
 
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The passages that cells have found."""
+    rows = _read(batches, 7)
+    made = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in rows[:, :6].T]
+    yield pa.RecordBatch.from_arrays([*made, pa.array(np.ascontiguousarray(rows[:, 6]).view(np.float64))], ["a", "b", "a_start", "a_end", "b_start", "b_end", "similarity"])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, a_from, a_to, b_from, b_to): shingle ranges to compare."""
     rows = _merged(_read(batches, 4))
@@ -621,9 +700,26 @@ def all_passages(pairs: list[tuple[np.ndarray, np.ndarray]], least: int, similar
     return out
 
 
+def _stretch(i: np.ndarray, j: np.ndarray, least: int, similar: float) -> tuple[int, int, int, int, float] | None:
+    """A similar stretch of the same shingles ``i`` and ``j``, wherever it begins and ends."""
+    gain = (1 + similar) / similar
+    value = gain * np.arange(len(i)) - i - j
+    before = np.minimum.accumulate(value)
+    upto = np.searchsorted(i, i - least + 1, "right") - 1
+    best = np.where(upto >= 0, value - before[np.maximum(upto, 0)], -np.inf)
+    for y in np.flatnonzero(best >= 2 - gain - 1e-6).tolist():
+        x = int(value[: upto[y] + 1].argmin())
+        span = int(i[x]), int(i[y]), int(j[x : y + 1].min()), int(j[x : y + 1].max())
+        both = y - x + 1
+        ratio = both / (span[1] - span[0] + span[3] - span[2] + 2 - both)
+        if ratio >= similar and span[3] - span[2] + 1 >= least:
+            return (*span, ratio)
+    return None
+
+
 def _aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, again: bool, twice: bool, least: int, similar: float, common: int) -> list[tuple[int, int, int, int, float]]:
     """Similar passages of ``a`` and ``b``, whose shingles ``i`` and ``j`` are the same."""
-    out, todo = [], [(i, j)]
+    out, todo, missed = [], [(i, j)], []
     if again:  # shingles that repeat have no one place
         up = _follow(a, b, i, j, 1)
         todo = [(i, up), (i, _follow(a, b, i, up, -1)), (i, _follow(a, b, i, _follow(a, b, i, j, -1), 1))]
@@ -648,8 +744,11 @@ def _aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, again:
         if ratio >= similar:
             out.append((*span, ratio))
         elif len(i) > 2 and step.max() > 1:
+            missed.append((i, j))
             cut = int(step.argmax()) + 1
             todo += [(i[:cut], j[:cut]), (i[cut:], j[cut:])]
+    if not out and not twice:
+        out = [x for i, j in missed if (x := _stretch(i, j, least, similar))]
     return list(dict.fromkeys(out))
 
 
@@ -757,12 +856,6 @@ def _by_text(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(roots, "tag", "left").select("key", "tag", "place", F.coalesce("root", "tag").alias("label"))
 
 
-def _by_one(labelled: DataFrame, turn: int, buckets: int) -> DataFrame:
-    """Of each key, a text of each class with one of the largest."""
-    ones = apply_groups(labelled.mapInArrow(lambda it: _one_of_each(it, turn, buckets), BLOB), ["bucket"], lambda it: _with_largest(it, turn, buckets), BLOB)
-    return settle(apply_groups(ones, ["bucket"], _candidates, FOUND))
-
-
 def _routes(labelled: DataFrame) -> DataFrame:
     """``labelled`` of the keys of several classes with texts (how many the key has) and route.
 
@@ -778,15 +871,17 @@ def _routes(labelled: DataFrame) -> DataFrame:
     return met.select("key", "tag", "place", "label", "texts", route.cast("long").alias("route"))
 
 
-def _by_all(labelled: DataFrame, texts: DataFrame, least: int, similar: float, buckets: int) -> DataFrame:
-    """Of each key, all pairs of texts of different classes that have enough in common around the place.
+def _by_all(labelled: DataFrame, texts: DataFrame, least: int, similar: float, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(passages, ranges) of the pairs of texts that connect the classes of a key, all being compared
+    that have enough in common around the place.
 
     A key of more than BLOCK texts isn't gathered.  Where at most BLOCK are
     outside its largest class, those go to each block of that class.  Else its
-    texts meet by each shingle around the place that at most BLOCK of them have: a
-    pair with enough in common has such a one, unless what it has in common is
-    itself in more texts.  Those that have so much that is common to very many are
-    compared in pairs of blocks.
+    blocks meet in pairs.  A key of more than CROWDED blocks meets by each shingle
+    around the place that at most BLOCK of its texts have, and its pairs are ranges
+    that are still to be compared: a pair with enough in common has such a shingle,
+    unless what it has in common is itself in more texts.  Those that have so much
+    that is common to very many are compared in pairs of blocks.
     """
     asked = settle(_routes(labelled).groupBy("tag").agg(F.collect_list(F.struct("key", "place", "label", "texts", "route")).alias("places")))
     body = _bodies(asked.select("tag"), texts)
@@ -795,11 +890,15 @@ def _by_all(labelled: DataFrame, texts: DataFrame, least: int, similar: float, b
     zero, one, rest = F.lit(0).cast("long").alias("side"), F.lit(1).cast("long").alias("side"), ["tag", "place", "label", "near"]
     own = F.pmod(F.xxhash64("tag"), "blocks")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    low, high = F.least("own", "block"), F.greatest("own", "block")
+    side = ((low != high) & (F.col("own") == high)).cast("long").alias("side")
     cells = rows.where("route = 0").select(F.col("key").alias("cell"), zero, *rest)
     cells = cells.unionByName(rows.where("route = 1").select(F.xxhash64("key", own).alias("cell"), zero, *rest))
     cells = cells.unionByName(rows.where("route = 2").select("key", *rest, every).select(F.xxhash64("key", "block").alias("cell"), one, *rest))
     cells = cells.unionByName(rows.where("route = 2").select(F.xxhash64("key", F.lit(-1).cast("long")).alias("cell"), zero, *rest))
-    many = rows.where("route = 3")
+    met = rows.where((F.col("route") == 3) & (F.col("blocks") <= CROWDED)).withColumn("own", own).select("key", *rest, "own", every)
+    cells = cells.unionByName(met.select(F.xxhash64("key", low, high).alias("cell"), side, *rest))
+    many = rows.where((F.col("route") == 3) & (F.col("blocks") > CROWDED))
     if many.take(1):
         each = many.mapInArrow(_each_shingle, "key long, tag long, place long, label long, blocks long, shingle int")
         counts = settle(each.groupBy("key", "shingle").agg(F.count("*").alias("n")).where("n > 1"))
@@ -809,14 +908,14 @@ def _by_all(labelled: DataFrame, texts: DataFrame, least: int, similar: float, b
         enough = int(np.ceil(2 * least * similar / (1 + similar)))
         full = each.join(counts.where(F.col("n") > BLOCK), ["key", "shingle"]).groupBy("key", "tag", "place", "label", "blocks").agg(F.count("*").alias("m")).where(F.col("m") >= enough)
         full = full.withColumn("own", own).select("key", *rest[:3], "own", every)
-        low, high = F.least("own", "block"), F.greatest("own", "block")
-        cells = cells.unionByName(full.select(F.xxhash64("key", low, high).alias("cell"), ((low != high) & (F.col("own") == high)).cast("long").alias("side"), *rest[:3], none))
+        cells = cells.unionByName(full.select(F.xxhash64("key", low, high).alias("cell"), side, *rest[:3], none))
     n = rows.count()
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(max(buckets, -(-n // CROSSED)))))
-    dealt = apply_groups(cells, ["bucket"], lambda it: _cross(it, least, similar, buckets), BLOB)
-    found = settle(apply_groups(dealt, ["bucket"], _candidates, FOUND))
-    release(asked, rows)
-    return found
+    dealt = settle(apply_groups(cells, ["bucket"], lambda it: _cross(it, least, similar, buckets), BLOB), "kind")
+    seen = settle(dealt.where("kind = 2").mapInArrow(_seen, VERIFIED))
+    found = settle(apply_groups(dealt.where("kind = 1"), ["bucket"], _candidates, FOUND))
+    release(asked, rows, dealt)
+    return seen, found
 
 
 def link_passages(texts: DataFrame, passage: int = PASSAGE, similar: float = SIMILAR, n_words: int = 0) -> DataFrame:
@@ -838,12 +937,11 @@ def link_passages(texts: DataFrame, passage: int = PASSAGE, similar: float = SIM
     members = settle(both.where("kind = 3").mapInArrow(_members, "key long, tag long, at long, place long"))
     release(keyed, met)
     links = _compare(found, texts, least, similar)
-    for turn in range(ROUNDS + 1):
-        labelled = settle(_by_text(members, links))
-        found = _by_one(labelled, turn, buckets) if turn < ROUNDS else _by_all(labelled, texts, least, similar, buckets)
-        release(labelled)
-        if found.take(1):
-            links = settle(links.unionByName(_compare(found, texts, least, similar)))
+    labelled = settle(_by_text(members, links))
+    seen, found = _by_all(labelled, texts, least, similar, buckets)
+    release(labelled)
+    if found.take(1):
+        links = settle(links.unionByName(seen).unionByName(_compare(found, texts, least, similar)))
     release(members)
     return links
 

@@ -340,3 +340,36 @@ def test_repeated_words():
     assert any(y - x >= 49 for x, y, *_ in substring.passages(c, b, 46))
     same = np.zeros(60, np.uint32)
     assert substring.passages(same, same[:50], 46) and not substring.passages(same, same[:40], 46)
+
+
+def test_classes_meet_in_their_cell():
+    """A cell hands on the pairs that connect its classes, not all that have much in common."""
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    block = draw(42)  # too short to link
+    near = [np.concatenate([draw(40), block, draw(40)]).tobytes() for _ in range(60)]
+    base = draw(120)
+    for k in range(40):
+        copy = base.copy()
+        copy[k + 40] = draw(1)[0]
+        near.append(copy.tobytes())
+    tag = rng.permutation(100).astype(np.uint64)
+    rows = np.arange(100)
+    found = list(substring._connect(tag, tag, near, rows, rows, 46, 0.8))
+    assert len(found) == 39 and groups(range(100), [(x, y) for x, y, _ in found]) == {k: min(k, 60) for k in range(100)}
+    assert list(substring._connect(tag, np.zeros(100, np.uint64), near, rows, rows, 46, 0.8)) == []
+    half = substring._connect(tag, tag, near, rows[:80], rows[80:], 46, 0.8)
+    assert len({x for i, j, _ in half for x in (i, j)}) == 40
+
+
+def test_passage_wherever_it_ends():
+    """A similar stretch is found though cutting a chain at its widest step hides it."""
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        b = a.copy()
+        for at in rng.integers(0, 100, 5):
+            b[at : at + 5] = rng.integers(0, 1 << 63, len(b[at : at + 5]), dtype=np.uint64)
+        met = np.concatenate([[0], np.cumsum(a == b)])
+        some = any(a[x] == b[x] and a[y] == b[y] and (m := met[y + 1] - met[x]) / (2 * (y - x + 1) - m) >= 0.8 for x in range(55) for y in range(x + 45, 100))
+        assert bool(substring.passages(a, b, 46)) == some
